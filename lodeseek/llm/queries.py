@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeseek.llm import distinctive, encode, frequency, fuse, mix, neardup, split
+from lodeseek.llm import distinctive, encode, frequency, fuse, mix, neardup, neighbours, split
 from lodeseek.session import table
 
 QUERIES: dict = {}
@@ -21,6 +21,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# 1: most similar vectors
+
+USABLE = "SELECT {0} AS id, v::DOUBLE[] AS v FROM (SELECT {0}, v, row_number() OVER (PARTITION BY {0} ORDER BY {1} DESC NULLS LAST) AS i FROM {2}) WHERE i = 1 AND len(v) = 64 AND len(list_filter(v, lambda x: isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+UNIT = "SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM {}"
+
+
+@query(
+    "p1_found",
+    f"""WITH a AS ({USABLE.format('node_id', 'added_at', 'vectors')}), b AS ({USABLE.format('query_id', 'asked_at', 'queries')}), x AS ({UNIT.format('a')}), y AS ({UNIT.format('b')}),
+s AS (SELECT p.id AS id, r.id AS near, round(list_inner_product(p.u, r.u), 6) AS s, 0 AS kind FROM x p JOIN x r ON p.id <> r.id UNION ALL SELECT p.id, r.id, round(list_inner_product(p.u, r.u), 6), 1 FROM y p, x r),
+k AS (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY s DESC, near) AS i FROM s) SELECT DISTINCT CASE WHEN kind = 1 THEN id ELSE least(id, near) END AS id_a, CASE WHEN kind = 1 THEN near ELSE greatest(id, near) END AS id_b FROM k WHERE i <= 5""",
+)
+def _(spark, d):
+    return neighbours.similar_pairs(table(spark, d, "vectors"), table(spark, d, "queries"))
+
+
 # 2: one ranking
 
 READINGS = """c AS (SELECT query_id, leg, node_id, CASE leg WHEN 'dense' THEN -dist WHEN 'lexical' THEN score WHEN 'rerank' THEN score END AS good, logged_at FROM hits WHERE leg IN ('dense', 'lexical', 'rerank')),
