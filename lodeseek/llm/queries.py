@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeseek.llm import distinctive, encode, frequency, fuse, mix, neardup, neighbours, split
+from lodeseek.llm import distinctive, encode, frequency, fuse, mix, neardup, neighbours, split, subjects
 from lodeseek.session import table
 
 QUERIES: dict = {}
@@ -167,3 +167,11 @@ def _(spark, d):
     targets = table(spark, d, "mix_targets")
     sized = mix.sizes(table(spark, d, "documents"), targets)
     return mix.schedule(sized, mix.capacities(sized, targets))
+
+
+# 9: subject areas
+
+
+@query("p9_found")
+def _(spark, d):
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
