@@ -1,8 +1,8 @@
 """Most similar vectors for every vector: adaptive dimension scan within probed lists.
 
 Unit vectors are laid out in inverted lists around centroids of a bounded sample. Every vector first scans its own list, which
-bounds the distance of its k-th neighbour; then it visits those of the nearest other lists that the triangle inequality
-cannot rule out under this bound. A scan reads randomly rotated vectors in column blocks: after each block, a candidate
+bounds the distance of its k-th neighbour; then it visits those of the nearest other lists that under this bound neither their
+radius rules out nor a test on the distance to the plane between the two centroids. A scan reads randomly rotated vectors in column blocks: after each block, a candidate
 whose partial distance is too large for the bound (a hypothesis test on the rotation's distribution) is abandoned, and only
 survivors are read further. Survivors are re-scored in double precision. Vectors of one direction take part once, as a class.
 """
@@ -19,11 +19,12 @@ from lodeseek.operators.topk import top_k
 from lodeseek.session import cut
 
 #: Vectors a list holds on average; there are at most MAX_LISTS lists, whose centroids travel with the tasks.
-LIST_ROWS, MAX_LISTS = 2_000, 4_096
-#: Lists visited besides the own one, at most.
-PROBES = 12
+LIST_ROWS, MAX_LISTS = 500, 4_096
+#: Lists visited besides the own one, in waves (the first tightens the bound for the second), and how far beyond the plane to its own list a vector still looks, in shares of its bound: a
+#: neighbour lies in some direction of many, so its component across one plane is small. PLANE is divided by the root of the dimensions.
+WAVES, PLANE = (8, 64), 2.64
 #: Vectors of the sample on which centroids are fitted: at least, and for each list.
-SAMPLE, SAMPLE_PER_LIST, ROUNDS = 20_000, 32, 8
+SAMPLE, SAMPLE_PER_LIST, ROUNDS = 20_000, 32, 6
 #: Columns read between two tests, and how many deviations a partial distance may exceed its share of the bound.
 COLUMNS, DEVIATIONS = 16, 2.5
 #: One task scans at most about so many asking vectors against so many stored ones.
@@ -150,20 +151,29 @@ def _assign(records: DataFrame, c: np.ndarray) -> DataFrame:
     return records.select("id", "kind", "v").mapInArrow(run, "list int, off double, id long, kind int, v array<float>")
 
 
-def _probe(asks: DataFrame, c: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """(list, id, bound, v): the further lists of each row of asks(list, id, bound, v)."""
+def _probe(asks: DataFrame, c: np.ndarray, radius: np.ndarray, past: int, upto: int) -> DataFrame:
+    """(list, id, bound, v): of each row of asks(list, id, bound, v) the lists it must visit among its past + 1st to upto-th nearest, not counting
+    its own."""
 
     def run(batches):
+        between = c @ c.T
+        share = min(1.0, PLANE / c.shape[1] ** 0.5)
+        n = min(upto + 1, len(c))
         for b in batches:
             if not b.num_rows:
                 continue
             u, home, bound = _unit_rows(b["v"]), np.asarray(b["list"]), np.asarray(b["bound"])
-            far = np.sqrt(np.maximum(0, 2 - 2 * (u.astype(np.float32) @ c.T).astype(np.float64)))
-            far[np.arange(len(u)), home] = np.inf
-            n = min(PROBES, far.shape[1])
-            near = np.argpartition(far, n - 1, axis=1)[:, :n]
-            d = np.take_along_axis(far, near, 1)
-            go = np.isfinite(d) & (radius[near] >= 0) & (d - radius[near] <= np.sqrt(2 - 2 * bound)[:, None] + 1e-4)
+            s = u.astype(np.float32) @ c.T
+            s[np.arange(len(u)), home] = 3.0
+            near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)[:, past + 1 :]
+            square = np.maximum(0, 2 - 2 * np.take_along_axis(s, near, 1).astype(np.float64))
+            own = np.maximum(0, 2 - 2 * (u * c[home]).sum(1))
+            # whatever lies in a list lies within its radius, and beyond the plane between its centroid and one's own
+            apart = np.sqrt(np.maximum(1e-6, 2 - 2 * between[home[:, None], near].astype(np.float64)))
+            plane = (square - own[:, None]) / (2 * apart)
+            reach = np.sqrt(2 - 2 * bound)[:, None]
+            go = (radius[near] >= 0) & (np.sqrt(square) - radius[near] <= reach + 1e-4) & (plane <= share * reach + 1e-4)
             i, j = np.nonzero(go)
             yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), b["id"].take(pa.array(i)), pa.array(bound[i]), b["v"].take(pa.array(i))], ["list", "id", "bound", "v"])
 
@@ -215,14 +225,17 @@ def nearest(records: DataFrame, k: int, lists: int | None = None) -> DataFrame:
     radius, row_counts = np.full(len(c), -1.0), {r["list"]: r["n"] for r in about}
     for r in about:
         radius[r["list"]] = r["r"]
-    own = cut(_scan_lists(placed.select("list", "id", F.lit(-1.0).alias("bound"), "v"), stored, row_counts, k))
-    reached = own.groupBy("id").agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("s"))
-    bound = reached.select("id", F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(F.lit(-1.0)).alias("bound"))
-    asks = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
-    probes = cut(_probe(asks, c, radius))
-    further = _scan_lists(probes, stored, row_counts, k)
+    hits = cut(_scan_lists(placed.select("list", "id", F.lit(-1.0).alias("bound"), "v"), stored, row_counts, k))
+    for past, upto in zip((0, *WAVES), WAVES):
+        if past + 1 >= len(c):
+            break
+        reached = hits.groupBy("id").agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("s"))
+        bound = reached.select("id", F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(F.lit(-1.0)).alias("bound"))
+        asks = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+        probes = cut(_probe(asks, c, radius, past, upto))
+        hits = hits.unionByName(cut(_scan_lists(probes, stored, row_counts, k)))
     ordered = [F.round("similarity", DECIMALS).desc(), F.col("near")]
-    return top_k(own.unionByName(further), ["id"], ordered, k).select("id", "near", "similarity")
+    return top_k(hits, ["id"], ordered, k).select("id", "near", "similarity")
 
 
 def similar_pairs(vectors: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
