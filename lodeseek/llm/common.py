@@ -14,6 +14,12 @@ def salt(by: str, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
 
 
+def pieces(df: DataFrame, rows: int, n: int | None = None) -> int:
+    """Tasks for a shuffle of df's rows (counted, unless n tells) with about `rows` rows each, at least as many as the session shuffles into."""
+    n = df.count() if n is None else n
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
+
+
 def latest(df: DataFrame, keys: list[str], values: list[str], at: str) -> DataFrame:
     """One row a key: the values of its latest row by `at` (null is earliest; among equal times the larger values, null last)."""
     best = F.max(F.struct(F.col(at), *values))

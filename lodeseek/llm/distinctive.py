@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodeseek.llm.common import salt
+from lodeseek.llm.common import pieces, salt
 
+#: Postings of one task.
+TASK_ROWS = 1_000_000
 #: Exponent of the context counts.
 ALPHA = 0.75
 
@@ -22,7 +24,7 @@ def clean_postings(postings: DataFrame) -> DataFrame:
     later step by term starts from there.
     """
     rows = postings.where("term is not null and node_id is not null").select("term", salt("node_id").alias("__salt"), "node_id", "tf", F.coalesce(F.unix_micros("flushed_at"), F.lit(-(1 << 62))).alias("__at"))
-    laid = rows.repartition("term", "__salt")
+    laid = rows.repartition(pieces(postings, TASK_ROWS), "term", "__salt")
     once = laid.groupBy("term", "__salt", "node_id", "__at").agg(F.max(F.coalesce("tf", F.lit(-1))).alias("tf"))
     held = once.groupBy("term", "__salt", "node_id").agg(F.max_by("tf", "__at").alias("tf"))
     return held.where("tf > 0")

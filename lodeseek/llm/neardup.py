@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.functions.text import distinct_terms
-from lodeseek.llm.common import join_unique, latest
+from lodeseek.llm.common import join_unique, latest, pieces
 from lodeseek.session import cut
 
 #: Minwise tokens of a record.
@@ -26,6 +26,8 @@ TREES = 24
 ROOT_DEPTH, DEPTH = 4, 12
 #: A node of so many records is compared exhaustively.
 LEAF = 96
+#: Rows (record and tree) of one task.
+TASK_ROWS = 500_000
 #: Sketch agreement asked of a candidate: four standard errors below a similarity of 0.8.
 SLACK = 4.0
 #: Groups of more exact copies than this are linked through their representative only.
@@ -169,7 +171,7 @@ def candidates(sets: DataFrame, similarity: float = 0.8, trees: int = TREES) ->
             yield compare(pa.concat_tables(held))
 
     walked = sets.select("cid", "terms").mapInArrow(walk, "root long, tail binary, lanes binary, size int, cid long")
-    sorted_ = walked.repartition("root").sortWithinPartitions("root", "tail")
+    sorted_ = walked.repartition(pieces(sets, TASK_ROWS, trees * sets.count()), "root").sortWithinPartitions("root", "tail")
     return sorted_.mapInArrow(nodes, "a long, b long").where("a <> b").distinct()
 
 
