@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodeseek.llm.common import latest
+from lodeseek.llm.common import join_unique, latest
 from lodeseek.operators.topk import positions, top_k
+from lodeseek.session import cut
 
 #: Leg -> (column of its reading, whether larger is better).
 LEGS = {"dense": ("dist", False), "lexical": ("score", True), "rerank": ("score", True)}
@@ -42,17 +43,20 @@ def bounded(rows: DataFrame) -> DataFrame:
     """rows plus value in (0, 1): logistic of (good - median) / (1.4826 MAD) of its list.
 
     A list whose MAD is zero is standardised by 1; values that overflow are cut at the largest double. Medians come from
-    mergeable sketches (percentile_approx), so a list of any size is never gathered in one task.
+    mergeable sketches (percentile_approx), so a list of any size is never gathered in one task, and a list with more than a
+    thousandth of all readings meets its median in a broadcast join. rows is read several times.
     """
     lists = ["query_id", "leg"]
     big = F.lit(1e300)
     x = F.greatest(-big, F.least(big, F.col("good")))
-    median = rows.groupBy(*lists).agg(F.percentile_approx(x, 0.5, ACCURACY).alias("__median"))
-    centred = rows.join(median, lists).withColumn("__off", F.greatest(-big, F.least(big, x - F.col("__median"))))
-    mad = centred.groupBy(*lists).agg(F.percentile_approx(F.abs("__off"), 0.5, ACCURACY).alias("__mad"))
+    total = rows.count()
+    median = rows.groupBy(*lists).agg(F.percentile_approx(x, 0.5, ACCURACY).alias("__median"), F.count("*").alias("__n"))
+    centred = join_unique(rows, median, lists, "__n", total).withColumn("__off", F.greatest(-big, F.least(big, x - F.col("__median"))))
+    mad = centred.groupBy(*lists).agg(F.percentile_approx(F.abs("__off"), 0.5, ACCURACY).alias("__mad"), F.count("*").alias("__n"))
+    centred = centred.drop("__n", "__median")
     z = F.col("__off") / F.when(F.col("__mad") > 0, F.col("__mad") * MAD_SCALE).otherwise(F.lit(1.0))
     squashed = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
-    return centred.join(mad, lists).select(*lists, "node_id", "good", squashed.alias("value"))
+    return join_unique(centred, mad, lists, "__n", total).select(*lists, "node_id", "good", squashed.alias("value"))
 
 
 def ranked(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -64,7 +68,7 @@ def ranked(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     """
     weights = weights or {leg: 1.0 for leg in LEGS}
     total = sum(weights.values())
-    scored = bounded(readings(hits))
+    scored = bounded(cut(readings(hits)))
     placed = positions(scored, ["query_id", "leg"], [("value", False), ("good", False), ("node_id", True)])
     weight = F.coalesce(*[F.when(F.col("leg") == leg, F.lit(float(w))) for leg, w in weights.items()], F.lit(0.0))
     log_floor = F.log(F.lit(FLOOR))

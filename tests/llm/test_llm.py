@@ -138,6 +138,12 @@ def test_no_leg_rules_by_its_range(spark):
     assert all(again[n] == pytest.approx(values[n]) for n in values)
 
 
+def test_fusion_with_a_hot_query(spark):
+    rng = random.Random(6)
+    rows = [(7, "c", "lexical", n, None, float(rng.randrange(500)), at(1), None) for n in range(3000)] + [(q, "c", leg, n, 0.5 * n, 1.0 * n, at(1), None) for q in range(100, 400) for leg in fuse.LEGS for n in range(5)]
+    assert pairs(fuse.best(fuse.ranked(spark.createDataFrame(rows, HITS)), "rrf").select("query_id", "node_id")) == brute_fusion(rows)
+
+
 # 3 and 4
 
 POSTINGS = "coll string, term string, node_id long, tf int, flushed_at timestamp, gram string, n int"
