@@ -30,16 +30,19 @@ LEAF = 96
 TASK_ROWS = 500_000
 #: Sketch agreement asked of a candidate: four standard errors below a similarity of 0.8.
 SLACK = 4.0
-#: Groups of more exact copies than this are linked through their representative only.
+#: Unless every pair is asked for, records of one whole text beyond this number are linked through their smallest id only.
 COPIES = 64
+#: Ids that travel in one row on their way to all pairs, about.
+IDS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def term_sets(docs: DataFrame, least: int = 30, key: str = "id") -> DataFrame:
-    """(key, terms): sorted hashes of the distinct terms of each record with at least `least`. Repeated rows count once, null keys and texts don't."""
+    """(key, terms, copy): sorted hashes of the distinct terms of each record with at least `least`, and a hash of its whole text. Repeated rows
+    count once, null keys and texts don't."""
     hashed = F.array_sort(F.array_distinct(F.transform(distinct_terms(F.col("text")), lambda t: F.xxhash64(t))))
-    rows = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key), "added_at", hashed.alias("terms"))
-    return latest(rows, [key], ["terms"], "added_at").where(F.size("terms") >= least)
+    rows = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key), "added_at", hashed.alias("terms"), F.xxhash64("text").alias("copy"))
+    return latest(rows, [key], ["terms", "copy"], "added_at").where(F.size("terms") >= least)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -185,23 +188,32 @@ def similar_classes(sets: DataFrame, similarity: tuple[int, int] = (8, 10), tree
     return both.where(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int = TREES, every: bool = False) -> DataFrame:
     """(id_a, id_b), id_a < id_b: records whose sets of distinct terms are that similar.
 
-    A class is the records of one set, told apart by a 64-bit hash of the sorted terms. Classes of up to COPIES records are expanded to all
-    pairs; of larger ones every copy is linked with the smallest id, and links to other classes go between the smallest ids.
+    A class is the records of one set, told apart by a 64-bit hash of the sorted terms; it is expanded to all pairs at any size, in blocks of
+    about IDS ids that spread over the tasks. Only records of one whole text are kept linear unless `every` is set: of more than COPIES the
+    smallest id stands for all, and each other copy is linked with it.
     """
-    rows = cut(term_sets(docs, least, key).select(F.col(key).alias("rid"), F.xxhash64("terms").alias("cid"), "terms"))
-    members = rows.select("cid", "rid")
-    counts = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("rid").alias("head"))
-    total = rows.count()
+    rows = cut(term_sets(docs, least, key).select(F.col(key).alias("rid"), F.xxhash64("terms").alias("cid"), "terms", "copy"))
     sets = cut(rows.select("cid", "terms").dropDuplicates(["cid"]))
     pairs = similar_classes(sets, similarity, trees)
-    counted = join_unique(members, counts, ["cid"], "n", total)
-    small = counted.where(F.col("n") <= COPIES).groupBy("cid").agg(F.sort_array(F.collect_list("rid")).alias("ids"))
-    listed = small.unionByName(counts.where(F.col("n") > COPIES).select("cid", F.array("head").alias("ids")))
-    across = pairs.join(listed.select(F.col("cid").alias("a"), F.col("ids").alias("ia")), "a").join(listed.select(F.col("cid").alias("b"), F.col("ids").alias("ib")), "b")
-    across = across.select(F.explode("ia").alias("x"), "ib").select("x", F.explode("ib").alias("y"))
-    within = small.where(F.size("ids") > 1).select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y")
-    star = counted.where((F.col("n") > COPIES) & (F.col("rid") != F.col("head"))).select(F.col("head").alias("x"), F.col("rid").alias("y"))
-    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    members, star = rows.select("cid", "copy", "rid"), None
+    if not every:
+        texts = members.groupBy("cid", "copy").agg(F.count("*").alias("n"), F.min("rid").alias("head"))
+        held = join_unique(members, texts, ["cid", "copy"], "n", rows.count())
+        copied = (F.col("n") > COPIES) & (F.col("rid") != F.col("head"))
+        star = held.where(copied).select(F.col("head").alias("x"), F.col("rid").alias("y"))
+        members = cut(held.where(~copied).select("cid", "rid"))
+    counts = members.groupBy("cid").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / IDS)).cast("int")
+    blocks = join_unique(members.select("cid", "rid"), counts, ["cid"], "n", rows.count()).withColumn("block", block).groupBy("cid", "n", "block").agg(F.collect_list("rid").alias("ids"))
+    blocks = cut(blocks)
+    left = blocks.select(F.col("cid").alias("a"), "n", F.col("block").alias("ba"), F.col("ids").alias("ia"))
+    right = blocks.select(F.col("cid").alias("b"), F.col("block").alias("bb"), F.col("ids").alias("ib"))
+    across = pairs.join(left, "a").join(right, "b").select("ia", "ib", F.lit(False).alias("same"))
+    within = left.where("n > 1").join(right, (F.col("a") == F.col("b")) & (F.col("ba") <= F.col("bb"))).select("ia", "ib", (F.col("ba") == F.col("bb")).alias("same"))
+    # a hot class's pairs of blocks leave the task that made them before they become pairs of ids
+    met = across.unionByName(within).repartition(F.xxhash64("ia", "ib"))
+    out = met.select("same", "ib", F.explode("ia").alias("x")).select("same", "x", F.explode("ib").alias("y")).where("not same or x < y").select("x", "y")
+    return (out if star is None else out.unionByName(star)).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -134,7 +134,7 @@ w AS (SELECT id, n, unnest(t) AS term FROM b), s AS (SELECT x.id AS id_a, y.id A
 SELECT id_a, id_b FROM s WHERE c * 10 >= (n + m - c) * 8""",
 )
 def _(spark, d):
-    return neardup.near_duplicates(table(spark, d, "docs"))
+    return neardup.near_duplicates(table(spark, d, "docs"), every=True)
 
 
 # 7: encoding

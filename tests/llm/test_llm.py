@@ -292,6 +292,24 @@ def test_many_copies_stay_linear(spark, monkeypatch):
     assert got == {("c00", f"c{i:02}") for i in range(1, 20)} | {("c00", "z")}
 
 
+def test_large_classes_of_different_texts_give_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 3)
+    monkeypatch.setattr(neardup, "IDS", 2, raising=False)
+    words, rng = [f"w{i}" for i in range(40)], random.Random(2)
+    rows = []
+    for i in range(20):  # one set of terms, twenty orders, and a class that is similar to it
+        rng.shuffle(words)
+        rows += [(f"r{i:02}", " ".join(words), at(1)), (f"s{i:02}", " ".join([*words, "more"]), at(1))]
+    df = spark.createDataFrame([*rows, *[(f"c{i}", rows[0][1], at(1)) for i in range(5)]], "id string, text string, added_at timestamp")
+    ids = [r[0] for r in rows]
+    every = {(a, b) for a in ids for b in ids if a < b}
+    got = pairs(neardup.near_duplicates(df))
+    stand_in = lambda i: "c0" if i == "r00" else i
+    assert got == {tuple(sorted(map(stand_in, p))) for p in every} | {("c0", f"c{i}") for i in range(1, 5)} | {("c0", "r00")}
+    ids += [f"c{i}" for i in range(5)]
+    assert pairs(neardup.near_duplicates(df, every=True)) == {(a, b) for a in ids for b in ids if a < b}
+
+
 def test_paths_split_by_agreement():
     x = neardup.minwise(np.arange(200, dtype=np.uint64), np.array([0, 100, 200]))
     assert (x[0] != x[1]).mean() > 0.9 and neardup.agreement(neardup.sketch(x[:1]), neardup.sketch(x[:1]))[0] == neardup.TOKENS
