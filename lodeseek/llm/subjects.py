@@ -1,8 +1,9 @@
 """Subject areas of documents by class-association rules.
 
 Rules "words -> subject" are mined from a labelled sample by parallel frequent-pattern growth: item counts first, then for every
-item that does not settle the subject by itself a conditional set of sentences, each mined in its own group. Rules that a
-shorter rule explains as well are pruned. Every sentence of every document then belongs to the subject for which its matching
+item the conditional set of its sentences, each grown in its own group, set by set, to bodies of any length. Bodies end only where
+their counts can't make a rule any more or every rule they could make is redundant. Rules that a shorter rule explains as
+well are pruned. Every sentence of every document then belongs to the subject for which its matching
 rules give the most calibrated evidence; a document is about the subjects that hold at least a quarter of its sentences that
 have one.
 """
@@ -15,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 LABELLED = 20_000
 #: Documents that must hold a body.
 LEAST_DOCS = 2
-#: A body is a rule if the lower bound of its best subject's share, or of its best two or three together, reaches these values, with a
-#: ratio of the best's odds to its prior odds of at least ODDS and a share of at least CONFIDENCE. Above SETTLED a body is not grown further.
+#: A word is a rule if the lower bound of its best subject's share, or of its best two or three together, reaches these values, with a
+#: ratio of the best's odds to its prior odds of at least ODDS and a share of at least CONFIDENCE.
 BOUNDS = (0.45, 0.72, 0.82)
-CONFIDENCE, ODDS, SETTLED = 0.3, 2.5, 0.8
+CONFIDENCE, ODDS = 0.3, 2.5
 #: A longer body must raise the confidence by so much, with this lower bound.
 GAIN, LONGER = 0.15, 0.7
 #: Standard errors of the lower bounds for single words and for longer bodies, of which very many are tested.
@@ -62,24 +64,23 @@ def sentences(text: str | None) -> list[list[str]]:
 
 @dataclass
 class Rules:
-    """Log-evidence per subject of single words and of pairs (which replace their first word's)."""
+    """Log-evidence per subject of single words and of longer bodies (kept under their first word)."""
 
     prior: dict[str, float]
     single: dict[str, dict[str, float]] = field(default_factory=dict)
-    pair: dict[str, dict[str, dict[str, float]]] = field(default_factory=dict)
+    longer: dict[str, list[tuple[frozenset[str], dict[str, float]]]] = field(default_factory=dict)
 
     def evidence(self, words: list[str]) -> dict[str, float]:
+        """Sum over all matching rules, without those whose body is part of a longer matching body. Bodies that share a word share its weight."""
         total: dict[str, float] = {}
-        for w in words:
-            gain = self.single.get(w)
-            if gain is None:
-                continue
-            for other in words if w in self.pair else ():
-                if (longer := self.pair[w].get(other)) is not None:
-                    gain = longer
-                    break
+        held = set(words)
+        matching = [r for w in words for r in self.longer.get(w, ()) if r[0] <= held]
+        matching = [r for r in matching if not any(r[0] < other for other, _ in matching)]
+        bodies = Counter(w for body, _ in matching for w in body)
+        found = [(1.0, self.single[w]) for w in words if w in self.single and w not in bodies]
+        for weight, gain in [*found, *((sum(1 / bodies[w] for w in body) / len(body), gain) for body, gain in matching)]:
             for s, x in gain.items():
-                total[s] = total.get(s, 0.0) + x
+                total[s] = total.get(s, 0.0) + weight * x
         return total
 
     def posterior(self, words: list[str]) -> dict[str, float]:
@@ -134,6 +135,54 @@ def is_rule(counts: dict[str, float], prior: dict[str, float]) -> bool:
     return any(lower(min(1.0, sum(top[: i + 1]) / n), n, ERRORS) >= b for i, b in enumerate(BOUNDS))
 
 
+def least_weight() -> float:
+    """Weight of one subject below which no longer body can reach the lower bound LONGER, even if it has no other subject."""
+    return ERRORS_LONGER**2 * LONGER / (1 - LONGER)
+
+
+def grow(items: np.ndarray, rows: np.ndarray, n_rows: int, doc: np.ndarray, shares: np.ndarray, prior: np.ndarray, known: np.ndarray, best: np.ndarray) -> list[tuple[list[int], int, np.ndarray]]:
+    """(words besides the first, subject, counts) of the rules in a conditional set, whose words (items) stand in n_rows sentences (rows).
+
+    doc: document of a sentence, shares: its subjects, known: confidence of each word that is a rule, best: that of the body so far. A word that
+    is in all sentences of a body changes none of its counts, nor of what grows from it, so it is left out; so is one without a subject of
+    enough weight. A body is grown while a subject of enough weight can still gain on what its words and parts tell.
+    """
+    out: list[tuple[list[int], int, np.ndarray]] = []
+    least = least_weight()
+
+    def visit(body: list[int], items: np.ndarray, rows: np.ndarray, n_rows: int, best: np.ndarray) -> None:
+        # a document once a word
+        pairs = np.unique(items.astype(np.int64) * len(shares) + doc[rows])
+        word = pairs // len(shares)
+        first = np.nonzero(np.concatenate(([True], word[1:] != word[:-1])))[0]
+        words, counts = word[first], np.add.reduceat(shares[pairs % len(shares)], first)
+        live = (counts.max(1) >= least) & (np.bincount(items, minlength=len(known))[words] < n_rows)
+        kept = np.zeros(len(known), dtype=bool)
+        kept[words[live]] = True
+        inside = kept[items]
+        items, rows = items[inside], rows[inside]
+        for w, c in zip(words[live], counts[live]):
+            n = c.sum()
+            confidence = (c + SHRINK * prior) / (n + SHRINK)
+            told = np.maximum(best, known[w])
+            s = int(c.argmax())
+            if confidence[s] >= told[s] + GAIN and lower(c[s] / n, n, ERRORS_LONGER) >= LONGER:
+                out.append(([*body, int(w)], s, c))
+                told[s] = confidence[s]
+            if not ((c >= least) & (told + GAIN <= 1)).any():
+                continue
+            having = np.zeros(len(doc), dtype=bool)
+            having[rows[items == w]] = True
+            # only words before w: every body is met once
+            on = having[rows] & (items < w)
+            if on.any():
+                visit([*body, int(w)], items[on], rows[on], int(having.sum()), told)
+
+    if len(items):
+        visit([], items, rows, n_rows, best)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, bound: int = LABELLED) -> DataFrame:
     """(doc_id, text, subjects): labelled documents, at most about `bound`. Null, unknown and repeated labels don't count."""
     known = subjects.where("subject is not null").select("subject").distinct()
@@ -173,36 +222,45 @@ def mine(sample: DataFrame) -> Rules:
         frequent = {w: c for w, c in counts.items() if docs[w] >= LEAST_DOCS}
         single = {w: c for w, c in frequent.items() if is_rule(c, prior)}
         rules.single = {w: gains(c, prior) for w, c in single.items()}
-        # growth: only bodies that are a rule but don't settle the subject; anything longer than a settled body is redundant
-        open_ = {w for w, c in single.items() if settled(c, prior)[1] < SETTLED and docs[w] >= 2 * LEAST_DOCS}
+        # growth; a word is part of a longer rule only if a subject of enough weight can still gain on what the word tells by itself
         names = sorted(prior)
+        share = np.array([prior[x] for x in names])
+        weights = {w: np.array([c.get(x, 0.0) for x in names]) for w, c in frequent.items()}
+        told = {w: (c + SHRINK * share) / (c.sum() + SHRINK) if w in single else np.zeros(len(names)) for w, c in weights.items()}
+        open_ = sorted((w for w, c in weights.items() if ((c >= least_weight()) & (told[w] + GAIN <= 1)).any()), key=lambda w: (-docs[w], w))
         if open_:
-            confidence = {w: settled(c, prior) for w, c in single.items()}
-            grow = transactions.select("doc_id", "words", "subjects", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(open_)]))).alias("item"))
-
-            def conditional(f: pd.DataFrame) -> pd.DataFrame:
-                item = f["item"].iloc[0]
-                held: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-                seen: dict[str, set] = defaultdict(set)
-                for d, words, subjects in zip(f["doc_id"], f["words"], f["subjects"]):
-                    for w in words:
-                        if w != item and w in frequent and d not in seen[w]:
-                            seen[w].add(d)
-                            for s in subjects:
-                                held[w][s] += 1 / len(subjects)
-                out = []
-                for w, c in held.items():
-                    if len(seen[w]) < 2 * LEAST_DOCS:
-                        continue
-                    s, conf, _ = settled(c, prior)
-                    n = sum(c.values())
-                    if conf < confidence[item][1] + GAIN or lower(c.get(s, 0.0) / n, n, ERRORS_LONGER) < LONGER or w in confidence and confidence[w][0] == s and confidence[w][1] >= conf - GAIN:
-                        continue
-                    out.append((item, w, [float(c.get(x, 0.0)) for x in names]))
-                return pd.DataFrame(out, columns=["item", "word", "held"])
-
-            for r in grow.groupBy("item").applyInPandas(conditional, "item string, word string, held array<double>").collect():
-                rules.pair.setdefault(r["item"], {})[r["word"]] = gains(dict(zip(names, r["held"])), prior)
+            code, number = {w: i for i, w in enumerate(open_)}, {x: i for i, x in enumerate(names)}
+            known = np.stack([told[w] for w in open_])
+
+            def conditional(frames):
+                """Each word with the more frequent ones of its sentence."""
+                for f in frames:
+                    out = []
+                    for d, words, subjects in zip(f["doc_id"], f["words"], f["subjects"]):
+                        held = sorted(code[w] for w in words if w in code)
+                        of = [number[x] for x in subjects]
+                        out += [(w, d, held[:i], of) for i, w in enumerate(held)]
+                    yield pd.DataFrame(out, columns=["item", "doc_id", "before", "of"])
+
+            def grown(f: pd.DataFrame) -> pd.DataFrame:
+                doc, ids = pd.factorize(f["doc_id"])
+                shares = np.zeros((len(ids), len(names)))
+                for d, of in zip(doc, f["of"]):
+                    shares[d, of] = 1 / len(of)
+                item = int(f["item"].iloc[0])
+                found = grow(np.concatenate(f["before"].to_list()).astype(np.int64), np.repeat(np.arange(len(f)), f["before"].map(len)), len(f), doc, shares, share, known, known[item])
+                return pd.DataFrame([([item, *more], s, c.tolist()) for more, s, c in found], columns=["body", "subject", "held"])
+
+            sets = transactions.mapInPandas(conditional, "item int, doc_id long, before array<int>, of array<int>")
+            mined = sets.groupBy("item").applyInPandas(grown, "body array<int>, subject int, held array<double>").collect()
+            kept: dict[str, list[tuple[frozenset[str], int, float]]] = defaultdict(list)
+            for r in sorted(mined, key=lambda r: (len(r["body"]), r["body"])):
+                body, c, s = frozenset(open_[w] for w in r["body"]), np.array(r["held"]), r["subject"]
+                confidence = (c[s] + SHRINK * share[s]) / (c.sum() + SHRINK)
+                if any(t == s and part < body and x > confidence - GAIN for w in body for part, t, x in kept[w]):
+                    continue
+                kept[min(body)].append((body, s, confidence))
+                rules.longer.setdefault(min(body), []).append((body, gains(dict(zip(names, r["held"])), prior)))
         transactions.unpersist()
         return rules
     finally:

@@ -429,3 +429,26 @@ def test_subject_areas(spark):
     assert sum(got[i] == truth[i] for i in held_out) / len(held_out) > 0.95
     assert not got.keys() & {9000, 9001, 9002}
     assert subjects.subject_areas(d, lab.limit(0), known).count() == 0 and subjects.subject_areas(d.limit(0), lab, known).count() == 0
+
+
+def test_words_that_tell_a_subject_only_together(spark):
+    # the subject is the parity of three marks: no word and no pair tells anything
+    rng = random.Random(4)
+    docs, truth = [], {}
+    for i in range(800):
+        marks = [rng.randrange(2) for _ in range(3)]
+        truth[i] = "odd" if sum(marks) % 2 else "even"
+        words = [f"{'xyz'[j]}{'ab'[m]}" for j, m in enumerate(marks)] + rng.sample("one two three four five six".split(), 2)
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(0, 800, 2)], "doc_id long, subject string")
+    got = pairs(subjects.subject_areas(d, labels, spark.createDataFrame([("odd", ""), ("even", "")], "subject string, description string")))
+    assert got == {(i, s) for i, s in truth.items()}
+
+
+def test_all_matching_rules_count():
+    gain = {"a": 1.0, "b": -1.0}
+    rules = subjects.Rules({"a": 0.5, "b": 0.5}, {"u": gain, "v": gain}, {"u": [(frozenset("uv"), gain), (frozenset("uw"), gain)], "x": [(frozenset("xy"), gain)], "u2": []})
+    assert rules.evidence(["u", "v", "w", "x", "y"]) == pytest.approx({"a": 2.5, "b": -2.5})
+    assert rules.evidence(["u", "x"]) == gain and rules.evidence(["w", "y"]) == {}
