@@ -45,38 +45,37 @@ def _leading(n: int, ends: list[np.ndarray], limit: int, overlap: int) -> list[t
 
 
 def _balanced(n: int, ends: list[np.ndarray], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Cheapest chain from 0 to n. Edges of a state: the last boundary of each kind and of each quarter of its window, and the hard cut."""
-    cost, come = {0: 0.0}, {}
-    import heapq
-
-    open_, done = [(0, 0)], set()
-    final: tuple[float, int] | None = None
-    while open_:
-        _, s = heapq.heappop(open_)
-        if s in done:
+    """Cheapest chain from 0 to n, exactly. Edges of a state: every boundary in its window, and the hard cut. A boundary of several kinds
+    counts as the cheapest."""
+    at = np.concatenate(ends[::-1])
+    at, first = np.unique(at[::-1], return_index=True)
+    penalty = np.repeat(PENALTIES[:3][::-1], [len(x) for x in ends[::-1]])[::-1][first]
+    penalty, at = penalty[at <= n], at[at <= n]
+    # numbers of the boundaries up to each offset
+    upto = np.searchsorted(at, np.arange(n + 1), side="right").tolist()
+    cost, come = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+    cost[0] = 0.0
+    # the slack of each possible length
+    slack = (1 - np.arange(limit + 1) / limit) ** 2
+    for s in range(n - limit):
+        c = cost[s]
+        if c == np.inf:
             continue
-        done.add(s)
-        if n - s <= limit:
-            total = cost[s] + (1 - (n - s) / limit) ** 2
-            if final is None or (total, s) < final:
-                final = (total, s)
-            continue
-        edges = {s + limit: PENALTIES[3]}
-        for kind in (2, 1, 0):
-            for part in range(4):
-                high = s + limit - part * limit // 8
-                if (e := _last(ends[kind], s + limit / 2, high)) is not None:
-                    edges[e] = PENALTIES[kind]
-        for e, penalty in edges.items():
-            t = max(e - overlap, s + 1)
-            c = cost[s] + penalty + (1 - (e - s) / limit) ** 2
-            if c < cost.get(t, np.inf):
-                cost[t], come[t] = c, (s, e)
-                heapq.heappush(open_, (t, t))
-    pieces, s = [(final[1], n)], final[1]
+        low, high = upto[s + limit // 2], upto[s + limit]
+        e = at[low:high]
+        total = c + penalty[low:high] + slack[e - s]
+        better = total < cost[e - overlap]
+        t = e[better] - overlap
+        cost[t], come[t] = total[better], s
+        t = s + limit - overlap
+        if c + PENALTIES[3] < cost[t]:
+            cost[t], come[t] = c + PENALTIES[3], s
+    last = np.arange(n - limit, n)
+    s = int(last[np.argmin(cost[n - limit :n] + slack[n - last])])
+    pieces = [(s, n)]
     while s:
-        s, e = come[s]
-        pieces.append((s, e))
+        pieces.append((int(come[s]), s + overlap))
+        s = int(come[s])
     return pieces[::-1]
 
 

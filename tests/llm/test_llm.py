@@ -247,6 +247,35 @@ def test_split_against_the_rule():
     assert split.pieces("abcdefghij", 4, 99) and split.pieces("abc", 0)  # still moves on
 
 
+def test_balanced_split_is_the_cheapest():
+    def cost(found, ends, limit):
+        total = 0.0
+        for a, e in found[:-1]:
+            kinds = [k for k in range(3) if e in ends[k]]
+            total += split.PENALTIES[min(kinds, default=3)] + (1 - (e - a) / limit) ** 2
+        return total + (1 - (found[-1][1] - found[-1][0]) / limit) ** 2
+
+    def cheapest(n, ends, limit, overlap):
+        best = {}
+        for s in range(n - 1, -1, -1):
+            if n - s <= limit:
+                best[s] = (1 - (n - s) / limit) ** 2
+                continue
+            best[s] = min(best[e - overlap] + split.PENALTIES[min((k for k in range(3) if e in ends[k]), default=3)] + (1 - (e - s) / limit) ** 2 for e in range(s + 1, s + limit + 1) if e > s + limit / 2 and (e == s + limit or any(e in x for x in ends)))
+        return best[0]
+
+    rng = random.Random(11)
+    for _ in range(120):
+        t = "".join(rng.choice(["x" * rng.randrange(1, 9), " ", " ", ". ", "\n\n"]) for _ in range(rng.randrange(40, 160)))
+        limit = rng.choice([20, 41, 64])
+        overlap = rng.choice([0, 0, 3, 9])
+        found = split.pieces(t, limit, overlap, "balanced")
+        if found:
+            ends = [set(map(int, x)) for x in split.boundaries(t)]
+            assert all(e - a > limit / 2 for a, e in found[:-1])
+            assert cost(found, ends, limit) == pytest.approx(cheapest(len(t), ends, limit, overlap), abs=1e-9), (t, limit, overlap)
+
+
 def test_split_tables(spark):
     long = "word " * 300
     docs = spark.createDataFrame([(1, "a", long, at(1), 5), (1, "a", long, at(2), 5), (2, "b", long, None, 5), (3, "zz", long, at(1), 5), (4, None, "short", at(1), 5), (5, "a", None, at(1), 5), (None, "a", long, at(1), 5), (6, "a", "now short", at(3), 5), (6, "a", long, at(1), 5)], "node_id long, coll string, text string, added_at timestamp, size int")
