@@ -417,6 +417,20 @@ def test_mix(spark):
     assert mix.schedule(sized.limit(0), mix.capacities(sized.limit(0), targets)).count() == 0
 
 
+def test_long_schedules_stay_within_a_block(spark):
+    # one-token documents and blocks of one token: a slot holds one document
+    n, weight = 40_003, {"a": 0.6137, "b": 0.2871, "c": 0.0641, "d": 0.0351}
+    sized = spark.range(n).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, weight)), (F.col("id") % 4 + 1).cast("int")).alias("source"), F.lit(1).cast("long").alias("tokens"))
+    targets = spark.createDataFrame([(s, w, 3) for s, w in weight.items()], "source string, target_weight double, max_repeats int")
+    rows = sorted((r["slot"], r["source"]) for r in mix.schedule(sized, mix.capacities(sized, targets), block=1).select("slot", "source").collect())
+    total = Counter(s for _, s in rows)
+    assert [t for t, _ in rows] == list(range(len(rows))) and len(rows) > 40_000
+    used = Counter()
+    for t, s in rows:
+        used[s] += 1
+        assert all(abs(used[x] - total[x] * (t + 1) / len(rows)) < 1 for x in total)
+
+
 # 9
 
 
