@@ -1,14 +1,18 @@
 """Near-duplicate records: a chosen-path set similarity join.
 
 Records are sets of distinct terms. Each tree starts with all records in one node and branches a node by a minwise token
-that the node itself chooses: records go on together if they agree in it. Nodes that have become small are compared
-exhaustively by sketches; the rest branch on, up to a depth where only near-copies are left together, which are
-compared exhaustively at any size. Independent trees are repeated until the target recall is reached, and every candidate is
+that the node itself draws: records go on together if they agree in it. Nodes that have become small are compared
+exhaustively by sketches; the rest branch on. Records that are still in a large node at a depth go through a further stage
+of deeper trees, up to a depth where only near-copies are left together, which are compared exhaustively at any size. Each
+stage has as many independent trees as its depth needs for the target recall, and every candidate is
 verified on the whole sets. Equal sets are joined by their hash and take part once, as a class.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,13 +21,12 @@ from lodeseek.functions.text import distinct_terms
 from lodeseek.llm.common import join_unique, latest, pieces
 from lodeseek.session import cut
 
-#: Minwise tokens of a record.
+#: Minwise tokens of a sketch.
 TOKENS = 128
-#: Independent trees: a pair at the threshold that needs six levels (the usual depth at a million records) is found with
-#: probability 1 - (1 - 0.8 ** 6) ** 24 = 0.999, at ten levels 0.93.
-TREES = 24
-#: Branches before a node's members meet in one task, and at most.
-ROOT_DEPTH, DEPTH = 4, 12
+#: Probability to find a pair at the threshold, asked of the trees of each stage.
+RECALL = 0.999
+#: Branches before a node's members meet in one task, and at most in each stage.
+ROOT_DEPTH, DEPTHS = 4, (6, 8, 10, 12)
 #: A node of so many records is compared exhaustively.
 LEAF = 96
 #: Rows (record and tree) of one task.
@@ -61,14 +64,30 @@ def minwise(values: np.ndarray, offsets: np.ndarray, n: int = TOKENS, seed: int
     return out
 
 
-def paths(tokens: np.ndarray, tree: int, depth: int = DEPTH) -> np.ndarray:
-    """(sets, depth): the nodes a record passes in a tree. The node before chooses which token decides."""
-    path = np.full(len(tokens), _mixed(np.full(1, tree + 1, dtype=np.uint64) * _MIX)[0])
-    out = np.empty((len(tokens), depth), dtype=np.uint64)
-    rows = np.arange(len(tokens))
+def drawn(values: np.ndarray, offsets: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A minwise token of each set by a function that its node draws (no other node, level or tree has the same)."""
+    values = values.astype(np.uint64, copy=False)
+    lengths = np.diff(offsets)
+    return lambda path: np.minimum.reduceat(_mixed(values ^ np.repeat(_mixed(path ^ _MIX), lengths)), offsets[:-1])
+
+
+def trees_for(depth: int, similarity: float, recall: float = RECALL) -> int:
+    """Trees that find a pair of that similarity with probability `recall` if it must agree in `depth` tokens."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(similarity**depth))) if similarity < 1 else 1
+
+
+def chosen(tokens: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """As drawn, but the node chooses among given tokens."""
+    return lambda path: tokens[np.arange(len(tokens)), (path % np.uint64(tokens.shape[1])).astype(np.int64)]
+
+
+def paths(tokens: np.ndarray | Callable[[np.ndarray], np.ndarray], tree: int, depth: int = DEPTHS[-1], n: int | None = None) -> np.ndarray:
+    """(sets, depth): the nodes a record passes in a tree. The node before decides which token counts: of given ones, or as `drawn` for n sets."""
+    token, n = (tokens, n) if callable(tokens) else (chosen(tokens), len(tokens))
+    path = np.full(n, _mixed(np.full(1, tree + 1, dtype=np.uint64) * _MIX)[0])
+    out = np.empty((n, depth), dtype=np.uint64)
     for level in range(depth):
-        chosen = (path % np.uint64(tokens.shape[1])).astype(np.int64)
-        path = _mixed(path * _MIX ^ tokens[rows, chosen])
+        path = _mixed(path * _MIX ^ token(path))
         out[:, level] = path
     return out
 
@@ -90,9 +109,9 @@ def needed(similarity: float, tokens: int = TOKENS, slack: float = SLACK) -> int
     return int(tokens * p - slack * (tokens * p * (1 - p)) ** 0.5)
 
 
-def leaf_pairs(root: np.ndarray, tail: np.ndarray, sketches: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (row numbers) among rows sorted by (root, tail): each row belongs to the highest node of its path that is
-    a leaf (at most LEAF rows, or the last level)."""
+def leaf_pairs(root: np.ndarray, tail: np.ndarray, sketches: np.ndarray, size: np.ndarray, similarity: float, last: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (row numbers) among rows sorted by (root, tail), and the rows without a leaf: each row belongs to the highest node of
+    its path that is a leaf (at most LEAF rows, or if `last` the last level)."""
     n = len(root)
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = root[1:] != root[:-1]
@@ -104,7 +123,7 @@ def leaf_pairs(root: np.ndarray, tail: np.ndarray, sketches: np.ndarray, size: n
         number = np.cumsum(fresh) - 1
         s = first[number]
         e = np.append(first[1:], n)[number]
-        now = open_ & ((e - s <= LEAF) | (level == tail.shape[1]))
+        now = open_ & ((e - s <= LEAF) | (last and level == tail.shape[1]))
         start[now], end[now] = s[now], e[now]
         open_ &= ~now
         if not open_.any():
@@ -123,11 +142,29 @@ def leaf_pairs(root: np.ndarray, tail: np.ndarray, sketches: np.ndarray, size: n
         right.append(b[good])
         step += 1
         live = live[live + step < end[live]]
-    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
+    return (*((np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])), rows[open_])
+
+
+def candidates(sets: DataFrame, similarity: float = 0.8, trees: int | None = None) -> DataFrame:
+    """(a, b) with a < b, distinct, of sets(cid, terms): the pairs that some leaf's sketches suggest.
+
+    A pair of which one record has leaves in all trees of a stage meets in each of them with probability similarity ** depth at least; pairs
+    of records that both lack a leaf somewhere go on to the next stage. trees: for each stage, instead of trees_for().
+    """
+    found = None
+    for number, depth in enumerate(DEPTHS):
+        last = number == len(DEPTHS) - 1
+        met = cut(stage(sets, similarity, 1000 * number, trees or trees_for(depth, similarity), depth, last))
+        pairs = met.where("a <> b")
+        found = pairs if found is None else found.unionByName(pairs)
+        left = met.where("b is null").select(F.col("a").alias("cid")).distinct()
+        if last or left.isEmpty():
+            return found.distinct()
+        sets = cut(sets.join(left, "cid"))
 
 
-def candidates(sets: DataFrame, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
-    """(a, b) with a < b, distinct, of sets(cid, terms): the pairs that some leaf's sketches suggest."""
+def stage(sets: DataFrame, similarity: float, start: int, trees: int, depth: int, last: bool) -> DataFrame:
+    """(a, b) with a <= b as often as a task meets the pair in trees start.. of that depth, and (a, null) for records without a leaf."""
 
     def walk(batches):
         for b in batches:
@@ -139,20 +176,22 @@ def candidates(sets: DataFrame, similarity: float = 0.8, trees: int = TREES) ->
             lanes = sketch(tokens)
             lane_bytes = pa.array([r.tobytes() for r in lanes], pa.binary())
             size = pa.array(np.diff(offsets).astype(np.int32))
-            for t in range(trees):
-                way = paths(tokens, t)
+            draw = drawn(values[: offsets[-1]], offsets)
+            for t in range(start, start + trees):
+                way = paths(draw, t, depth, b.num_rows)
                 tail = np.ascontiguousarray((way[:, ROOT_DEPTH:] & np.uint64(0xFFFFFFFF)).astype(">u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(way[:, ROOT_DEPTH - 1].view(np.int64)), pa.array([r.tobytes() for r in tail], pa.binary()), lane_bytes, size, b["cid"]], ["root", "tail", "lanes", "size", "cid"])
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        width = DEPTH - ROOT_DEPTH
+        width = depth - ROOT_DEPTH
         root = t["root"].to_numpy()
         tail = np.frombuffer(b"".join(t["tail"].to_pylist()), dtype=">u4").reshape(len(root), width)
         lanes = np.frombuffer(b"".join(t["lanes"].to_pylist()), dtype=np.uint64).reshape(len(root), -1)
-        i, j = leaf_pairs(root, tail, lanes, t["size"].to_numpy(), similarity)
+        i, j, open_ = leaf_pairs(root, tail, lanes, t["size"].to_numpy(), similarity, last)
         cid = t["cid"].to_numpy()
         pairs = np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        deeper = pa.array(np.unique(cid[open_]))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), deeper]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(deeper), pa.int64())])], ["a", "b"])
 
     def nodes(batches):
         held: list[pa.Table] = []
@@ -175,10 +214,10 @@ def candidates(sets: DataFrame, similarity: float = 0.8, trees: int = TREES) ->
 
     walked = sets.select("cid", "terms").mapInArrow(walk, "root long, tail binary, lanes binary, size int, cid long")
     sorted_ = walked.repartition(pieces(sets, TASK_ROWS, trees * sets.count()), "root").sortWithinPartitions("root", "tail")
-    return sorted_.mapInArrow(nodes, "a long, b long").where("a <> b").distinct()
+    return sorted_.mapInArrow(nodes, "a long, b long")
 
 
-def similar_classes(sets: DataFrame, similarity: tuple[int, int] = (8, 10), trees: int = TREES) -> DataFrame:
+def similar_classes(sets: DataFrame, similarity: tuple[int, int] = (8, 10), trees: int | None = None) -> DataFrame:
     """(a, b): pairs of classes whose shared terms are at least similarity of the terms of both together, verified on whole sets."""
     num, den = similarity
     found = candidates(sets, num / den, trees)
@@ -188,7 +227,7 @@ def similar_classes(sets: DataFrame, similarity: tuple[int, int] = (8, 10), tree
     return both.where(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int = TREES, every: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int | None = None, every: bool = False) -> DataFrame:
     """(id_a, id_b), id_a < id_b: records whose sets of distinct terms are that similar.
 
     A class is the records of one set, told apart by a 64-bit hash of the sorted terms; it is expanded to all pairs at any size, in blocks of

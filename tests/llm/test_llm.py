@@ -339,6 +339,14 @@ def test_large_classes_of_different_texts_give_every_pair(spark, monkeypatch):
     assert pairs(neardup.near_duplicates(df, every=True)) == {(a, b) for a in ids for b in ids if a < b}
 
 
+def test_dense_families_keep_their_recall(spark):
+    # one family, every pair at exactly 0.8: nodes become small at ten levels or so only
+    core, n = " ".join(f"w{i}" for i in range(80)), 900
+    df = spark.createDataFrame([(f"d{i:03}", f"{core} " + " ".join(f"x{i}y{j}" for j in range(10)), at(1)) for i in range(n)], "id string, text string, added_at timestamp")
+    found = neardup.near_duplicates(df)
+    assert found.distinct().count() >= 0.995 * n * (n - 1) / 2
+
+
 def test_paths_split_by_agreement():
     x = neardup.minwise(np.arange(200, dtype=np.uint64), np.array([0, 100, 200]))
     assert (x[0] != x[1]).mean() > 0.9 and neardup.agreement(neardup.sketch(x[:1]), neardup.sketch(x[:1]))[0] == neardup.TOKENS
