@@ -41,14 +41,24 @@ EVIDENCE = 0.6
 _BROKEN, _ESCAPED = re.compile("[\u00c2\u00c3][\u0080-\u00bf]"), re.compile(r"\\u([0-9a-fA-F]{4})")
 _BRACKETS = re.compile(r"\[[^\]\n]{0,80}\]")
 _BREAK = re.compile(r"[\r\n]+|(?<=[.!?。！？])[\"'’”)\]]*(?:\s+|$)")
-#: A line with so many of these characters is code and has no subject.
-_CODE, CODE_MARKS = frozenset("();={}&|*<>"), 4
+#: A line with so many of these characters, and with this share of them besides markup and code spans, is code and has no subject.
+_CODE, CODE_MARKS, CODE_SHARE = frozenset("();={}&|*<>"), 4, 0.12
+#: Tags, emphasis and rules in text; a run of characters with code marks within it.
+_MARKUP, _SPAN = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|\*{2,}|={3,}"), re.compile(r"\S*[^\s();={}&|*<>][();={}&|*<>]+[^\s();={}&|*<>.,:!?]\S*")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
+def prose(s: str) -> str:
+    """A sentence without its markup and code spans; nothing of a line of code."""
+    if sum(map(s.count, _CODE)) < CODE_MARKS:
+        return s
+    s = _SPAN.sub(" ", _MARKUP.sub(" ", s))
+    return s if sum(map(s.count, _CODE)) < CODE_SHARE * len("".join(s.split())) else ""
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The distinct words of each sentence in lower case, hyphenated words whole. Line breaks end sentences, also escaped and marked-up ones;
-    lines of code are left out."""
+    lines of code and code spans are left out."""
     if not text:
         return []
     if "&" in text:
@@ -57,7 +67,7 @@ def sentences(text: str | None) -> list[list[str]]:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
     text = _BROKEN.sub(lambda m: m[0].encode("latin-1").decode(), text)
     text = text.replace("\\r", "\n").replace("\\n", "\n").replace("<br/>", "\n").replace("<br>", "\n").replace("­", "").replace("​", "")
-    parts = (s for s in _BREAK.split(_BRACKETS.sub(" ", text)) if s and sum(map(s.count, _CODE)) < CODE_MARKS)
+    parts = (prose(s) for s in _BREAK.split(_BRACKETS.sub(" ", text)) if s)
     found = (list(dict.fromkeys(_WORD.findall(s.lower()))) for s in parts)
     return [w for w in found if w]
 

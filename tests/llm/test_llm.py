@@ -448,6 +448,17 @@ def test_sentences():
     assert subjects.sentences("WÃ¤rme d\\u00edas") == [["wärme", "días"]]
 
 
+def test_prose_with_markup_or_code_keeps_its_words():
+    of = lambda s: subjects.sentences(s)
+    assert of("Every hurdle was measured at the old site f(x)=x**2;//ok 44 times; the midfielder (a guest) was measured once.") == ["every hurdle was measured at the old site times midfielder a guest once".split()]
+    assert of("** pinned ** the judge read the verdict") == ["pinned the judge read verdict".split()]
+    assert of("Most f(x)=x**2;//ok budgets rose.") == [["most", "budgets", "rose"]]
+    assert of("===== Verdict =====") == [["verdict"]]
+    assert of("The <b>court</b> heard the <i>appeal</i> again") == ["the court heard appeal again".split()]
+    for code in ("for (int i = 0; i < n; i++) {", "const total = items.reduce((a, b) => a + b, 0);", "if (a == b && c != d) { return; }"):
+        assert of(code) == []
+
+
 def test_subject_areas(spark):
     rng = random.Random(8)
     nouns = {"law": "judge court verdict statute appeal clause".split(), "sport": "goal court striker league medal referee".split(), "food": "oven dough spice broth garlic yeast".split()}
