@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeseek.functions import text as tx, vectors as vx
 from lodeseek.operators import embed, evaluate, exact, filters, fusion, graph, keyword, quantized
+from lodeseek.plans.collection import Collection
 from lodeseek.session import cut, shared_dir, table
 from lodeseek.sources import generators, snapshot
 
@@ -408,8 +409,13 @@ def _(spark, d):
 
 @query("append_batch", "SELECT count(*) AS docs, count(DISTINCT doc_id) AS ids FROM documents WHERE source IS NOT NULL")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.where("source = 'forum'").unionByName(docs.where("source <> 'forum'")).agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("ids"))
+    # every document is appended; the SQL counts those with a source
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("doc_id").cast("string").alias("id"), "text", F.to_json(F.struct("source")).alias("metadata"))
+    forum = F.coalesce(F.get_json_object("metadata", "$.source") == "forum", F.lit(False))
+    held = Collection(spark)
+    held.add_frame(docs.where(forum))
+    held.add_frame(docs.where(~forum))
+    return held.docs.where(F.get_json_object("metadata", "$.source").isNotNull()).agg(F.count("*").alias("docs"), F.countDistinct("id").alias("ids"))
 
 
 @query("snapshot_roundtrip", "SELECT vec_id AS node_id, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings")

@@ -11,6 +11,7 @@ from lodeseek.functions import register, text as tx, vectors as vx
 from lodeseek.operators import embed, evaluate, exact, filters, fusion, graph, keyword, quantized
 from lodeseek.operators.topk import positions
 from lodeseek.plans.collection import Collection
+from lodeseek.plans.queries import QUERIES
 from lodeseek.sources import generators, snapshot
 from lodeseek.streaming import ingest
 
@@ -215,6 +216,17 @@ def test_collection_life(spark, tmp_path):
         Collection.load(spark, str(tmp_path / "junk"))
 
 
+def test_append_query_stores_every_document(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}" if i % 5 else None, [None, "forum", "wiki"][i % 3]) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    held, add = [], Collection.add_frame
+    monkeypatch.setattr(Collection, "add_frame", lambda self, df, n=None: (held.append(self), add(self, df, n))[1])
+    counted = QUERIES["append_batch"](spark, str(tmp_path)).collect()
+    assert len(held) == 2 and held[0] is held[1] and len(held[0]) == 30
+    assert sorted((r["node_id"], r["text"]) for r in held[0].docs.collect()) == [(i, t) for i, t, _ in rows]
+    assert [tuple(r) for r in counted] == [(20, 20)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"d{i}", f"text number {i}", None) for i in range(6)]
     schema = "node_id long, id string, text string, metadata string"
