@@ -144,6 +144,16 @@ def test_fusion_with_a_hot_query(spark):
     assert pairs(fuse.best(fuse.ranked(spark.createDataFrame(rows, HITS)), "rrf").select("query_id", "node_id")) == brute_fusion(rows)
 
 
+def test_spread_lists_equal_gathered_ones(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(q, "c", leg, n, x, x, at(1), None) for q in (1, 2, 3) for leg in fuse.LEGS for n in range(5 if q == 3 else 60) for x in [rng.choice([rng.uniform(-9, 9), 2.0, INF, 1e300, -0.0, 0.0])]]
+    hits = spark.createDataFrame(rows, HITS)
+    gathered = {tuple(r) for r in fuse.bounded(hits).select("query_id", "leg", "node_id", "value", "position").collect()}
+    monkeypatch.setattr(fuse, "QUERY_ROWS", 20)
+    assert {tuple(r) for r in fuse.bounded(hits).select("query_id", "leg", "node_id", "value", "position").collect()} == gathered and len(gathered) == len(rows)
+    assert pairs(fuse.best(fuse.ranked(hits), "rrf").select("query_id", "node_id")) == brute_fusion(rows)
+
+
 # 3 and 4
 
 POSTINGS = "coll string, term string, node_id long, tf int, flushed_at timestamp, gram string, n int"
