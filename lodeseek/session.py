@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders below the shared one that this process has written and not yet given back.
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -54,6 +55,12 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 def release() -> None:
     """Remove what scratch() gave out. Frames that read it can't be used afterwards. Called when the process ends; a long session may call it between jobs."""
+    while _TABLES:
+        spark, name = _TABLES.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001
+            pass
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
@@ -77,6 +84,7 @@ def stored(df: DataFrame, buckets: int = 0, by: list[str] | None = None) -> Data
         return spark.read.schema(df.schema).parquet(path)
     name = f"lodeseek_{uuid.uuid4().hex}"
     writer.bucketBy(buckets, *by).saveAsTable(name)
+    _TABLES.append((spark, name))
     return spark.table(name)
 
 
