@@ -83,7 +83,7 @@ def _(spark, d):
 SELECT c.node_id, c.term, tf::INT AS tf, tt::BIGINT AS term_total, round(greatest(0, ln(tf * z / (tt * pow(nt::DOUBLE, 0.75)))), 6) + 0 AS ppmi FROM c JOIN t ON c.term = t.term JOIN n ON c.node_id = n.node_id, s""",
 )
 def _(spark, d):
-    return distinctive.ppmi(table(spark, d, "postings")).withColumn("ppmi", F.round("ppmi", 6) + F.lit(0.0))
+    return distinctive.ppmi(table(spark, d, "postings")).select("node_id", "term", "tf", "term_total", (F.round("ppmi", 6) + F.lit(0.0)).alias("ppmi"))
 
 
 MARKED = """SELECT {0}, 'rare' AS mark FROM {1} WHERE records <= 2 UNION ALL SELECT {0}, 'common' FROM {1} WHERE records * 3 > (SELECT count(DISTINCT node_id) FROM doc_len)"""
