@@ -110,6 +110,21 @@ def _(spark, d):
     return frequency.count_texts(table(spark, d, "docs"))
 
 
+def _grams(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT node_id, {i}, unnest(list_transform(range(1, len(t) - {i - 2}), lambda i: array_to_string(t[i:i + {i - 1}], ' '))) AS gram FROM k WHERE len(t) >= {i}" for i in range(2, n + 1))
+
+
+@query(
+    "p4_ngrams4",
+    f"""WITH o AS (SELECT node_id, text, row_number() OVER (PARTITION BY node_id ORDER BY added_at DESC NULLS LAST, text DESC NULLS LAST) AS i FROM docs), k AS (SELECT node_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS t FROM o WHERE i = 1 AND text IS NOT NULL),
+g AS (SELECT node_id, 1 AS n, unnest(t) AS gram FROM k UNION ALL {_grams(4)})
+SELECT n::INT AS n, gram, count(*) AS occurrences, count(DISTINCT node_id) AS records FROM g GROUP BY ALL""",
+)
+def _(spark, d):
+    """The same of up to four terms."""
+    return frequency.count_texts(table(spark, d, "docs"), width=4)
+
+
 # 5: splitting
 
 

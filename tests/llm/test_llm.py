@@ -222,6 +222,45 @@ def test_ngrams_against_counting(spark, monkeypatch):
     assert pairs(frequency.count_texts(df, width=3)) == {(n, g, c, len(held[n, g])) for (n, g), c in uses.items()}
 
 
+@pytest.mark.parametrize("depth", [None, 1, 2, 3])
+def test_suffix_arrays_and_intervals(depth):
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        recs = [rng.integers(0, 3, rng.integers(1, 12)) for _ in range(rng.integers(1, 6))]
+        recs += recs[:1]
+        codes, size = np.concatenate(recs), np.array([len(r) for r in recs])
+        left, rec = np.repeat(np.cumsum(size), size) - np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+        suffix = [tuple(codes[i : i + left[i]]) for i in range(len(codes))]
+        order, common = frequency.suffix_array(codes, left, depth)
+        cut = [suffix[i][:depth] for i in order]
+        assert cut == sorted(cut)
+        for j in range(1, len(order)):
+            a, b = suffix[order[j - 1]], suffix[order[j]]
+            shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert common[j] == shared if depth is None else min(common[j], depth) == min(shared, depth)
+        uses, held = Counter(), defaultdict(set)
+        for i, x in enumerate(suffix):
+            for n in range(1, len(x) + 1 if depth is None else min(len(x), depth) + 1):
+                uses[x[:n]] += 1
+                held[x[:n]].add(rec[i])
+        got = {suffix[r][:n]: (a, b) for n, row, oc, rc in frequency.intervals(codes, rec, left, depth) for r, a, b in zip(row, oc, rc)}
+        assert got == {g: (c, len(held[g])) for g, c in uses.items()}
+
+
+def test_ngrams_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "BLOCK", 5)
+    texts = ["a b c a b c", "b c a b", "c", None]
+    uses, held = Counter(), defaultdict(set)
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for n in range(1, len(w) + 1):
+            for j in range(len(w) - n + 1):
+                uses[n, " ".join(w[j : j + n])] += 1
+                held[n, " ".join(w[j : j + n])].add(i)
+    df = spark.createDataFrame([(i, t, at(1)) for i, t in enumerate(texts)], "node_id long, text string, added_at timestamp")
+    assert pairs(frequency.count_texts(df, width=None)) == {(n, g, c, len(held[n, g])) for (n, g), c in uses.items()}
+
+
 # 5
 
 
