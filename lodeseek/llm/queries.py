@@ -128,7 +128,17 @@ def _(spark, d):
 # 5: splitting
 
 
-@query("p5_found")
+PIECES = """WITH RECURSIVE o AS (SELECT node_id, coll, text, row_number() OVER (PARTITION BY node_id ORDER BY added_at DESC NULLS LAST, length(text) DESC NULLS LAST) AS i FROM docs WHERE node_id IS NOT NULL),
+d AS (SELECT node_id, text, length(text) AS n, coalesce(max_len, 512)::INT AS l, coalesce(overlap_len, 0)::INT AS v FROM o LEFT JOIN (SELECT coll, max(max_len) AS max_len, max(overlap_len) AS overlap_len FROM coll_config GROUP BY coll) c ON o.coll = c.coll WHERE i = 1 AND length(text) > coalesce(max_len, 512)),
+x AS (SELECT node_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM d),
+y AS (SELECT node_id, i, ch, lead(ch) OVER w AS following, last_value(CASE WHEN ch NOT IN (' ', chr(9), chr(13)) THEN ch END IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM x WINDOW w AS (PARTITION BY node_id ORDER BY i)),
+z AS (SELECT node_id, list(i) FILTER (WHERE ch = chr(10) AND held = chr(10)) AS a, list(i) FILTER (WHERE ch IN ('。', '！', '？') OR ch IN ('.', '!', '?') AND following IN (' ', chr(9), chr(10), chr(13))) AS b, list(i) FILTER (WHERE ch IN (' ', chr(9), chr(10), chr(13))) AS c FROM y GROUP BY node_id),
+p AS (SELECT node_id, 0 AS s, 0 AS e, 0 AS again, n, l, v, a, b, c FROM d JOIN z USING (node_id)
+UNION ALL SELECT node_id, again, t, t - v, n, l, v, a, b, c FROM (SELECT *, CASE WHEN n - again <= l THEN n ELSE coalesce(list_max(list_filter(a, lambda k: k > again + l / 2.0 AND k <= again + l)), list_max(list_filter(b, lambda k: k > again + l / 2.0 AND k <= again + l)), list_max(list_filter(c, lambda k: k > again + l / 2.0 AND k <= again + l)), again + l) END AS t FROM p WHERE e < n))
+SELECT node_id, s AS start_pos, e AS end_pos FROM p WHERE e > 0"""
+
+
+@query("p5_found", PIECES)
 def _(spark, d):
     return split.split(table(spark, d, "docs"), table(spark, d, "coll_config"))
 

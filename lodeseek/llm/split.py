@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries: dynamic programming over boundary positions.
 
-A state is the start of a piece, an edge a permitted end. Edges cost by the kind of the cut and by the piece's deviation
-from full size. Objective "balanced" minimises the sum over the whole text; "leading" minimises the costs in order, first
-piece first, each cost being (kind, slack). There the first edge of a state settles the comparison, so all other
-edges of a state are dominated and only one is followed.
+A state is the start of a piece, an edge a permitted end: every boundary in the upper half of the window, and the hard cut. Edges cost by the kind of
+the cut and by the piece's deviation from full size. Objective "balanced" minimises the sum over the whole text; "leading" minimises the costs in
+order, first piece first, each cost being (kind, slack). There a table holds the best edge of every state that a boundary leads to: no two
+edges of a state cost the same, so the first one settles the comparison and what follows need not be compared.
 """
 
 from __future__ import annotations
@@ -29,16 +29,25 @@ def boundaries(text: str) -> list[np.ndarray]:
     return [np.array(blank, dtype=np.int64), np.array([m.end() for m in _SENTENCE.finditer(text)], dtype=np.int64), np.array([m.end() for m in _SPACE.finditer(text)], dtype=np.int64)]
 
 
-def _last(ends: np.ndarray, low: float, high: int) -> int | None:
-    i = int(np.searchsorted(ends, high, side="right")) - 1
-    return int(ends[i]) if i >= 0 and ends[i] > low else None
+def _best_ends(starts: np.ndarray, ends: list[np.ndarray], limit: int) -> np.ndarray:
+    """For each state the end of its cheapest edge by (kind, slack) among all boundaries in (s + limit / 2, s + limit] and the hard cut."""
+    best = starts + limit
+    for kind in reversed(ends):
+        if len(kind):
+            at = np.searchsorted(kind, starts + limit, side="right") - 1
+            e = kind[np.maximum(at, 0)]
+            best = np.where((at >= 0) & (2 * (e - starts) > limit), e, best)
+    return best
 
 
 def _leading(n: int, ends: list[np.ndarray], limit: int, overlap: int) -> list[tuple[int, int]]:
+    starts = np.unique(np.concatenate([np.zeros(1, np.int64), *[b - overlap for b in ends]]))
+    starts = starts[(starts >= 0) & (starts < n - limit)]
+    table = dict(zip(starts.tolist(), _best_ends(starts, ends, limit).tolist()))
     pieces, s = [], 0
     while n - s > limit:
-        low = s + limit / 2
-        e = next((x for b in ends if (x := _last(b, low, s + limit)) is not None), s + limit)
+        # a hard cut leads to a state of its own
+        e = table[s] if s in table else int(_best_ends(np.array([s]), ends, limit)[0])
         pieces.append((s, e))
         s = max(e - overlap, s + 1)
     return [*pieces, (s, n)]
@@ -53,7 +62,7 @@ def _balanced(n: int, ends: list[np.ndarray], limit: int, overlap: int) -> list[
     penalty, at = penalty[at <= n], at[at <= n]
     # numbers of the boundaries up to each offset
     upto = np.searchsorted(at, np.arange(n + 1), side="right").tolist()
-    cost, come = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+    cost, come, stop = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
     cost[0] = 0.0
     # the slack of each possible length
     slack = (1 - np.arange(limit + 1) / limit) ** 2
@@ -64,26 +73,30 @@ def _balanced(n: int, ends: list[np.ndarray], limit: int, overlap: int) -> list[
         low, high = upto[s + limit // 2], upto[s + limit]
         e = at[low:high]
         total = c + penalty[low:high] + slack[e - s]
-        better = total < cost[e - overlap]
-        t = e[better] - overlap
-        cost[t], come[t] = total[better], s
-        t = s + limit - overlap
+        t = np.maximum(e - overlap, s + 1)
+        better = np.nonzero(total < cost[t])[0]
+        if 2 * overlap > limit:
+            # several ends may lead to one start: the cheapest is written last
+            better = better[np.argsort(-total[better], kind="stable")]
+        t = t[better]
+        cost[t], come[t], stop[t] = total[better], s, e[better]
+        t = max(s + limit - overlap, s + 1)
         if c + PENALTIES[3] < cost[t]:
-            cost[t], come[t] = c + PENALTIES[3], s
+            cost[t], come[t], stop[t] = c + PENALTIES[3], s, s + limit
     last = np.arange(n - limit, n)
-    s = int(last[np.argmin(cost[n - limit :n] + slack[n - last])])
+    s = int(last[np.argmin(cost[n - limit : n] + slack[n - last])])
     pieces = [(s, n)]
     while s:
-        pieces.append((int(come[s]), s + overlap))
+        pieces.append((int(come[s]), int(stop[s])))
         s = int(come[s])
     return pieces[::-1]
 
 
 def pieces(text: str, limit: int, overlap: int = 0, objective: str = "leading") -> list[tuple[int, int]]:
-    """(start, end) of each piece in code points; none for a text within the limit. The overlap is cut to less than half of the limit,
-    so that every piece moves on; a limit below 1 counts as 1."""
+    """(start, end) of each piece in code points; none for a text within the limit. An overlap of more than half of the limit may not let a piece
+    move on; it then starts one character after the one before. A limit below 1 counts as 1, a negative overlap as none."""
     limit = max(1, limit)
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, limit - 1))
     if len(text) <= limit:
         return []
     return (_leading if objective == "leading" else _balanced)(len(text), boundaries(text), limit, overlap)

@@ -286,7 +286,7 @@ def test_split_against_the_rule():
     for _ in range(600):
         t = "".join(rng.choice("ab🙂 .!?。\n\n\r\t") if rng.random() < 0.5 else "x" for _ in range(rng.randrange(1, 160)))
         limit = rng.choice([7, 10, 31])
-        overlap = rng.randrange(0, (limit - 1) // 2)
+        overlap = rng.randrange(0, limit // 2 + 1)
         assert split.pieces(t, limit, overlap) == naive_pieces(t, limit, overlap), (t, limit, overlap)
         found = split.pieces(t, limit, overlap, "balanced")
         for (a, b), (c, _) in zip(found, found[1:]):
@@ -325,6 +325,30 @@ def test_balanced_split_is_the_cheapest():
             assert cost(found, ends, limit) == pytest.approx(cheapest(len(t), ends, limit, overlap), abs=1e-9), (t, limit, overlap)
 
 
+def test_leading_split_is_the_least_in_order():
+    def least(n, ends, limit, overlap):
+        best = {}
+        for s in range(n - 1, -1, -1):
+            if n - s <= limit:
+                best[s] = [(-1, n - s)]
+                continue
+            found = [(min((k for k in range(3) if e in ends[k]), default=3), s + limit - e, e) for e in range(s + 1, s + limit + 1) if e > s + limit / 2 and (e == s + limit or any(e in x for x in ends))]
+            best[s] = min([(k, slack), *best[max(e - overlap, s + 1)]] for k, slack, e in found)
+        return best[0]
+
+    rng = random.Random(13)
+    for _ in range(80):
+        t = "".join(rng.choice(["x" * rng.randrange(1, 9), " ", " ", ". ", "\n\n"]) for _ in range(rng.randrange(40, 120)))
+        limit = rng.choice([20, 41, 64])
+        overlap = rng.choice([0, 3, limit // 2, limit - 5, limit - 1])
+        found = split.pieces(t, limit, overlap)
+        if found:
+            ends = [set(map(int, x)) for x in split.boundaries(t)]
+            assert [(min((k for k in range(3) if e in ends[k]), default=3), limit - (e - s)) for s, e in found[:-1]] == least(len(t), ends, limit, overlap)[:-1], (t, limit, overlap)
+            balanced = split.pieces(t, limit, overlap, "balanced")
+            assert balanced[0][0] == 0 and balanced[-1][1] == len(t) and all(c == max(b - overlap, a + 1) and limit / 2 < b - a <= limit for (a, b), (c, _) in zip(balanced, balanced[1:]))
+
+
 def test_split_tables(spark):
     long = "word " * 300
     docs = spark.createDataFrame([(1, "a", long, at(1), 5), (1, "a", long, at(2), 5), (2, "b", long, None, 5), (3, "zz", long, at(1), 5), (4, None, "short", at(1), 5), (5, "a", None, at(1), 5), (None, "a", long, at(1), 5), (6, "a", "now short", at(3), 5), (6, "a", long, at(1), 5)], "node_id long, coll string, text string, added_at timestamp, size int")
