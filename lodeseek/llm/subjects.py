@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Labelled documents that rules are mined from at most (chosen by hash of their id).
@@ -39,6 +40,7 @@ EVIDENCE = 0.6
 
 #: Two-byte characters that were read as one byte each, and escaped characters.
 _BROKEN, _ESCAPED = re.compile("[\u00c2\u00c3][\u0080-\u00bf]"), re.compile(r"\\u([0-9a-fA-F]{4})")
+#: Notes in brackets ("[note 3]", "[12]"), at most 80 characters on one line, belong to no sentence.
 _BRACKETS = re.compile(r"\[[^\]\n]{0,80}\]")
 _BREAK = re.compile(r"[\r\n]+|(?<=[.!?。！？])[\"'’”)\]]*(?:\s+|$)")
 #: A line with so many of these characters, and with this share of them besides markup and code spans, is code and has no subject.
@@ -56,9 +58,8 @@ def prose(s: str) -> str:
     return s if sum(map(s.count, _CODE)) < CODE_SHARE * len("".join(s.split())) else ""
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The distinct words of each sentence in lower case, hyphenated words whole. Line breaks end sentences, also escaped and marked-up ones;
-    lines of code and code spans are left out."""
+def parts(text: str | None) -> list[str]:
+    """The sentences of a text in lower case. Line breaks end sentences, also escaped and marked-up ones; lines of code and code spans are left out."""
     if not text:
         return []
     if "&" in text:
@@ -67,9 +68,13 @@ def sentences(text: str | None) -> list[list[str]]:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
     text = _BROKEN.sub(lambda m: m[0].encode("latin-1").decode(), text)
     text = text.replace("\\r", "\n").replace("\\n", "\n").replace("<br/>", "\n").replace("<br>", "\n").replace("­", "").replace("​", "")
-    parts = (prose(s) for s in _BREAK.split(_BRACKETS.sub(" ", text)) if s)
-    found = (list(dict.fromkeys(_WORD.findall(s.lower()))) for s in parts)
-    return [w for w in found if w]
+    found = _BREAK.split(_BRACKETS.sub(" ", text).lower())
+    return found if sum(map(text.count, _CODE)) < CODE_MARKS else [prose(s) for s in found if s]
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The distinct words of each sentence, hyphenated words whole."""
+    return [w for s in parts(text) if (w := list(dict.fromkeys(_WORD.findall(s))))]
 
 
 @dataclass
@@ -93,26 +98,54 @@ class Rules:
                 total[s] = total.get(s, 0.0) + weight * x
         return total
 
-    def posterior(self, words: list[str]) -> dict[str, float]:
-        """Shares of the subjects, empty if the evidence is too weak for any."""
-        e = self.evidence(words)
-        if not e or max(e.values()) < EVIDENCE:
-            return {}
-        top = max(e.values())
-        p = {s: self.prior[s] * math.exp(x - top) for s, x in e.items()}
-        whole = sum(p.values())
-        return {s: x / whole for s, x in p.items()}
-
-    def about(self, text: str | None) -> list[str]:
-        """Subjects with at least a quarter of the sentences that have one. Sentences in doubt follow the rest of the document."""
-        found = [p for p in map(self.posterior, sentences(text)) if p]
-        mass: Counter[str] = Counter()
-        for p in found:
-            mass.update(p)
-        held: Counter[str] = Counter()
-        for p in found:
-            held[max(sorted(p), key=lambda s: p[s] * (mass[s] - p[s] + 0.25))] += 1
-        return sorted(s for s, n in held.items() if 4 * n >= len(found))
+    def about(self, texts: list[str | None]) -> list[list[str]]:
+        """For each text the subjects with at least a quarter of its sentences that have one. A sentence has a subject from EVIDENCE on; sentences
+        in doubt follow the rest of the document."""
+        names = sorted(self.prior)
+        if not names:
+            return [[] for _ in texts]
+        joint = {w for bodies in self.longer.values() for body, _ in bodies for w in body}
+        known = [*self.single, *sorted(joint - self.single.keys())]
+        code = {w: i for i, w in enumerate(known)}
+        table = np.array([[self.single[w][x] if w in self.single else 0.0 for x in names] for w in known]).reshape(-1, len(names))
+        in_joint = {code[w] for w in joint}
+        get = code.get
+        flat: list[int] = []
+        starts, owner, odd = [], [], []
+        for i, t in enumerate(texts):
+            for s in parts(t):
+                held = set(map(get, _WORD.findall(s)))
+                held.discard(None)
+                if held:
+                    if in_joint and not in_joint.isdisjoint(held):
+                        odd.append((len(starts), held))
+                    starts.append(len(flat))
+                    owner.append(i)
+                    flat.extend(held)
+        if not starts:
+            return [[] for _ in texts]
+        evidence = np.add.reduceat(table[flat], starts, axis=0)
+        for row, held in odd:
+            e = self.evidence([known[c] for c in sorted(held)])
+            evidence[row] = [e.get(x, 0.0) for x in names]
+        top = evidence.max(axis=1)
+        told = top >= EVIDENCE
+        evidence, owner_ = evidence[told], np.array(owner)[told]
+        out: list[list[str]] = [[] for _ in texts]
+        if not len(evidence):
+            return out
+        p = np.array([self.prior[x] for x in names]) * np.exp(evidence - top[told][:, None])
+        p /= p.sum(axis=1, keepdims=True)
+        first = np.nonzero(np.concatenate(([True], owner_[1:] != owner_[:-1])))[0]
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p))))
+        mass = np.add.reduceat(p, first, axis=0)
+        chosen = (p * (mass[number] - p + 0.25)).argmax(axis=1)
+        held = np.zeros((len(first), len(names)), dtype=np.int64)
+        np.add.at(held, (number, chosen), 1)
+        for d, x in zip(*np.nonzero(4 * held >= held.sum(axis=1, keepdims=True))):
+            if held[d, x]:
+                out[owner_[first[d]]].append(names[x])
+        return out
 
 
 def gains(counts: dict[str, float], prior: dict[str, float]) -> dict[str, float]:
@@ -242,27 +275,35 @@ def mine(sample: DataFrame) -> Rules:
             code, number = {w: i for i, w in enumerate(open_)}, {x: i for i, x in enumerate(names)}
             known = np.stack([told[w] for w in open_])
 
-            def conditional(frames):
+            def conditional(batches):
                 """Each word with the more frequent ones of its sentence."""
-                for f in frames:
-                    out = []
-                    for d, words, subjects in zip(f["doc_id"], f["words"], f["subjects"]):
+                for b in batches:
+                    item, doc, before, of = [], [], [], []
+                    for d, words, subjects in zip(b["doc_id"].to_pylist(), b["words"].to_pylist(), b["subjects"].to_pylist()):
                         held = sorted(code[w] for w in words if w in code)
-                        of = [number[x] for x in subjects]
-                        out += [(w, d, held[:i], of) for i, w in enumerate(held)]
-                    yield pd.DataFrame(out, columns=["item", "doc_id", "before", "of"])
-
-            def grown(f: pd.DataFrame) -> pd.DataFrame:
-                doc, ids = pd.factorize(f["doc_id"])
+                        item += held
+                        doc += [d] * len(held)
+                        before += [held[:i] for i in range(len(held))]
+                        of += [[number[x] for x in subjects]] * len(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(doc, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.int32()))], ["item", "doc_id", "before", "of"])
+
+            def grown(t: pa.Table) -> pa.Table:
+                flat = lambda c: (c.flatten().to_numpy(), c.value_lengths().to_numpy())
+                t = t.combine_chunks()
+                column = lambda name: t[name].chunk(0)
+                ids, doc = np.unique(column("doc_id").to_numpy(), return_inverse=True)
+                before, n_before = flat(column("before"))
+                of, n_of = flat(column("of"))
                 shares = np.zeros((len(ids), len(names)))
-                for d, of in zip(doc, f["of"]):
-                    shares[d, of] = 1 / len(of)
-                item = int(f["item"].iloc[0])
-                found = grow(np.concatenate(f["before"].to_list()).astype(np.int64), np.repeat(np.arange(len(f)), f["before"].map(len)), len(f), doc, shares, share, known, known[item])
-                return pd.DataFrame([([item, *more], s, c.tolist()) for more, s, c in found], columns=["body", "subject", "held"])
-
-            sets = transactions.mapInPandas(conditional, "item int, doc_id long, before array<int>, of array<int>")
-            mined = sets.groupBy("item").applyInPandas(grown, "body array<int>, subject int, held array<double>").collect()
+                shares[np.repeat(doc, n_of), of] = np.repeat(1 / n_of, n_of)
+                item = column("item")[0].as_py()
+                found = grow(before.astype(np.int64), np.repeat(np.arange(len(doc)), n_before), len(doc), doc, shares, share, known, known[item])
+                columns = list(zip(*found)) or [(), (), ()]
+                bodies = pa.array([[item, *more] for more in columns[0]], pa.list_(pa.int32()))
+                return pa.table({"body": bodies, "subject": pa.array(columns[1], pa.int32()), "held": pa.array([c.tolist() for c in columns[2]], pa.list_(pa.float64()))})
+
+            sets = transactions.mapInArrow(conditional, "item int, doc_id long, before array<int>, of array<int>")
+            mined = sets.groupBy("item").applyInArrow(grown, "body array<int>, subject int, held array<double>").collect()
             kept: dict[str, list[tuple[frozenset[str], int, float]]] = defaultdict(list)
             for r in sorted(mined, key=lambda r: (len(r["body"]), r["body"])):
                 body, c, s = frozenset(open_[w] for w in r["body"]), np.array(r["held"]), r["subject"]
@@ -286,9 +327,10 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, bound
     rules = fit(docs, labels, subjects, bound)
     shared = docs.sparkSession.sparkContext.broadcast(rules)
 
-    def score(frames):
-        for f in frames:
-            rows = [(d, s) for d, t in zip(f["doc_id"], f["text"]) for s in shared.value.about(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject"])
+    def score(batches):
+        for b in batches:
+            found = shared.value.about(b["text"].to_pylist())
+            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows)), pa.array([s for x in found for s in x], pa.string())], ["doc_id", "subject"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(score, "doc_id long, subject string")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, subject string")
