@@ -69,10 +69,40 @@ def test_recall_with_many_lists(spark):
     found = defaultdict(set)
     for r in neighbours.nearest(records, 5, lists=60).collect():
         found[r["id"]].add(r["near"])
+    exact = defaultdict(list)
+    for r in neighbours.nearest(records, 5, lists=60, exact=True).collect():
+        exact[r["id"]].append(round(r["similarity"], 6))
     s = u @ u.T
     np.fill_diagonal(s, -2)
     truth = np.argsort(-s, axis=1)[:, :5]
     assert sum(len(found[i] & set(map(int, truth[i]))) for i in range(3000)) / 15000 >= 0.98
+    for i in range(3000):
+        assert sorted(exact[i]) == pytest.approx(sorted(s[i, truth[i]]), abs=2e-6)
+
+
+def test_vectors_without_structure(spark):
+    # uniform directions: many lists stay in reach, beyond the first two waves as well
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((2500, 16)).astype(np.float32)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+    records = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, kind int, v array<float>").repartition(3)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    truth = -np.sort(-s, axis=1)[:, :5]
+    for exact, least in ((True, 1.0), (False, 0.95)):
+        found = defaultdict(list)
+        for r in neighbours.nearest(records, 5, lists=120, exact=exact).collect():
+            found[r["id"]].append(r["similarity"])
+        assert sum(sum(v >= truth[i, 4] - 2e-6 for v in found[i]) for i in range(2500)) >= least * 12500
+
+
+def test_a_query_may_have_the_id_of_a_vector(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.standard_normal(4).astype(np.float32).tolist() for i in range(40)}
+    queries = {i: rng.standard_normal(4).astype(np.float32).tolist() for i in range(0, 50, 7)} | {5: vectors[5]}
+    a = spark.createDataFrame([(i, "c", v, at(1), "x", None) for i, v in vectors.items()], VECTORS)
+    b = spark.createDataFrame([(i, None, v, at(1)) for i, v in queries.items()], QUERIES)
+    assert pairs(neighbours.similar_pairs(a, b, dim=4)) == brute_pairs(vectors, queries)
 
 
 def test_scan_abandons_without_loss():
@@ -80,6 +110,7 @@ def test_scan_abandons_without_loss():
     x = neighbours.unit(rng.standard_normal((400, 64)) + 2 * rng.standard_normal((8, 64))[rng.integers(0, 8, 400)])
     ids = rng.permutation(400)
     a, b, s = neighbours.scan(ids, x, np.full(400, -1.0), ids, x, 5)
+    a = ids[a]
     full = x @ x.T
     np.fill_diagonal(full, -2)
     want = {(int(ids[i]), int(ids[j])) for i in range(400) for j in np.argsort(-full[i])[:5]}
