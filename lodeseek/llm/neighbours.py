@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodeseek.llm.common import join_unique, latest
+from lodeseek.llm.common import join_unique, latest, pieces
 from lodeseek.operators.exact import matrix
 from lodeseek.operators.topk import top_k
-from lodeseek.session import cut
+from lodeseek.session import cut, stored
 
 #: Vectors a list holds on average; there are at most MAX_LISTS lists, whose centroids travel with the tasks.
 LIST_ROWS, MAX_LISTS = 500, 16_384
@@ -31,6 +31,8 @@ SAMPLE, SAMPLE_PER_LIST, ROUNDS = 20_000, 32, 6
 COLUMNS, DEVIATIONS = 16, 2.5
 #: One task scans at most about so many asking vectors against so many stored ones.
 ASK_BLOCK, ROW_BLOCK = 8_192, 16_384
+#: Vectors of one task where they are laid out by id.
+TASK_ROWS = 500_000
 #: Pairs of which a scan gathers columns at once, and numbers of one block of products in a probe.
 GATHER, PRODUCTS = 500_000, 8_000_000
 DECIMALS = 6
@@ -233,14 +235,16 @@ def nearest(records: DataFrame, k: int, lists: int | None = None, exact: bool =
         sample = records.where("kind = 0").select("id", "v").limit(target).toArrow()
     sample = sample.sort_by("id")
     c = centroids(_unit_rows(sample["v"]), lists)
-    placed = cut(_assign(records, c))
-    stored = placed.where("kind = 0")
+    # laid out by id once, so the joins of all waves move only ids and bounds
+    tasks = pieces(records, TASK_ROWS)
+    placed = stored(_assign(records, c).repartition(tasks, "id", "kind"), tasks, ["id", "kind"])
+    base = placed.where("kind = 0")
     tally = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
-    about = stored.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("r")).collect()
+    about = base.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("r")).collect()
     radius, row_counts = np.full(len(c), -1.0), {r["list"]: r["n"] for r in about}
     for r in about:
         radius[r["list"]] = r["r"]
-    hits = cut(_scan_lists(placed.select("list", "id", "kind", F.lit(-1.0).alias("bound"), "v"), tally(placed), stored, row_counts, k, exact))
+    hits = cut(_scan_lists(placed.select("list", "id", "kind", F.lit(-1.0).alias("bound"), "v"), tally(placed), base, row_counts, k, exact))
     for past, upto in zip((0, *WAVES), (*WAVES, len(c))):
         if past + 1 >= len(c):
             break
@@ -251,7 +255,7 @@ def nearest(records: DataFrame, k: int, lists: int | None = None, exact: bool =
         probes = cut(_probe(asks, c, radius, past, upto, exact))
         counts = tally(probes)
         if counts:
-            hits = hits.unionByName(cut(_scan_lists(probes.join(placed.select("id", "kind", "v"), ["id", "kind"]), counts, stored, row_counts, k, exact)))
+            hits = hits.unionByName(cut(_scan_lists(probes.join(placed.select("id", "kind", "v"), ["id", "kind"]), counts, base, row_counts, k, exact)))
     ordered = [F.round("similarity", DECIMALS).desc(), F.col("near")]
     return top_k(hits, ["id", "kind"], ordered, k).select("id", "kind", "near", "similarity")
 
