@@ -33,19 +33,18 @@ LEAF = 96
 TASK_ROWS = 500_000
 #: Sketch agreement asked of a candidate: four standard errors below a similarity of 0.8.
 SLACK = 4.0
-#: Unless every pair is asked for, records of one whole text beyond this number are linked through their smallest id only.
-COPIES = 64
+#: Rows that are held before complete nodes are compared.
+HELD_ROWS = 100_000
 #: Ids that travel in one row on their way to all pairs, about.
 IDS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def term_sets(docs: DataFrame, least: int = 30, key: str = "id") -> DataFrame:
-    """(key, terms, copy): sorted hashes of the distinct terms of each record with at least `least`, and a hash of its whole text. Repeated rows
-    count once, null keys and texts don't."""
+    """(key, terms): sorted hashes of the distinct terms of each record with at least `least`. Repeated rows count once, null keys and texts don't."""
     hashed = F.array_sort(F.array_distinct(F.transform(distinct_terms(F.col("text")), lambda t: F.xxhash64(t))))
-    rows = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key), "added_at", hashed.alias("terms"), F.xxhash64("text").alias("copy"))
-    return latest(rows, [key], ["terms", "copy"], "added_at").where(F.size("terms") >= least)
+    rows = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key), "added_at", hashed.alias("terms"))
+    return latest(rows, [key], ["terms"], "added_at").where(F.size("terms") >= least)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -193,22 +192,36 @@ def stage(sets: DataFrame, similarity: float, start: int, trees: int, depth: int
         deeper = pa.array(np.unique(cid[open_]))
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), deeper]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(deeper), pa.int64())])], ["a", "b"])
 
+    def complete(t: pa.Table) -> int:
+        """Rows at the start of t (sorted by root and tail) that belong to nodes which no later row can join. Where all rows share a node, that
+        node is no leaf and its children are looked at, down to the last level; rows of one last node stay together if they must be compared."""
+        root = t["root"].to_numpy()
+        stop = int(np.searchsorted(root, root[-1], side="left"))
+        if stop or len(t) <= LEAF:
+            return stop
+        tail = np.frombuffer(b"".join(t["tail"].to_pylist()), dtype=">u4").reshape(len(root), depth - ROOT_DEPTH)
+        for level in range(tail.shape[1]):
+            stop = int(np.argmax((tail[:, level] == tail[-1, level])))
+            if stop:
+                return stop
+        return 0 if last else len(t)
+
     def nodes(batches):
         held: list[pa.Table] = []
-        rows = 0
+        rows, most = 0, HELD_ROWS
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(pa.Table.from_batches([b]))
             rows += b.num_rows
-            if rows >= 100_000:
+            if rows >= most:
                 t = pa.concat_tables(held)
-                root = t["root"].to_numpy()
-                # the last node may go on in the next batch
-                stop = int(np.searchsorted(root, root[-1], side="left"))
+                stop = complete(t)
                 if stop:
                     yield compare(t.slice(0, stop))
-                held, rows = [t.slice(stop)], t.num_rows - stop
+                held, rows = [t.slice(stop)] if stop < len(t) else [], t.num_rows - stop
+                # a node of the last level that fills the buffer is looked at again when it has doubled
+                most = max(HELD_ROWS, 2 * rows)
         if rows:
             yield compare(pa.concat_tables(held))
 
@@ -227,26 +240,36 @@ def similar_classes(sets: DataFrame, similarity: tuple[int, int] = (8, 10), tree
     return both.where(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int | None = None, every: bool = False) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: records whose sets of distinct terms are that similar.
+def _classes(docs: DataFrame, least: int, similarity: tuple[int, int], key: str, trees: int | None) -> tuple[DataFrame, DataFrame]:
+    """(cid, rid) of every record, a class being the records of one set of terms (told apart by a 64-bit hash of the sorted terms), and the pairs (a, b)
+    of similar classes."""
+    rows = cut(term_sets(docs, least, key).select(F.col(key).alias("rid"), F.xxhash64("terms").alias("cid"), "terms"))
+    sets = cut(rows.select("cid", "terms").dropDuplicates(["cid"]))
+    return rows.select("cid", "rid"), similar_classes(sets, similarity, trees)
+
+
+def linked(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int | None = None) -> DataFrame:
+    """(id, class_id, links), one row a record: the smallest id of its class, and how many records it is linked with, those of its class and of
+    all similar classes. The same form whatever the size of a class; nothing is expanded."""
+    members, pairs = _classes(docs, least, similarity, key, trees)
+    pairs = cut(pairs)
+    sizes = cut(members.groupBy("cid").agg(F.count("*").alias("n"), F.min("rid").alias("class_id")))
+    ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
+    beside = ends.join(sizes.select(F.col("cid").alias("other"), F.col("n").alias("m")), "other").groupBy("cid").agg(F.sum("m").alias("m"))
+    about = sizes.join(beside, "cid", "left").withColumn("links", F.col("n") - 1 + F.coalesce("m", F.lit(0)))
+    return join_unique(members, about, ["cid"], "n", members.count()).select(F.col("rid").alias(key), "class_id", "links")
+
 
-    A class is the records of one set, told apart by a 64-bit hash of the sorted terms; it is expanded to all pairs at any size, in blocks of
-    about IDS ids that spread over the tasks. Only records of one whole text are kept linear unless `every` is set: of more than COPIES the
-    smallest id stands for all, and each other copy is linked with it.
+def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int] = (8, 10), key: str = "id", trees: int | None = None) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: every pair of records whose sets of distinct terms are that similar.
+
+    Classes of one set are expanded to all pairs at any size, in blocks of about IDS ids that spread over the tasks. linked() gives the same links
+    without expanding them.
     """
-    rows = cut(term_sets(docs, least, key).select(F.col(key).alias("rid"), F.xxhash64("terms").alias("cid"), "terms", "copy"))
-    sets = cut(rows.select("cid", "terms").dropDuplicates(["cid"]))
-    pairs = similar_classes(sets, similarity, trees)
-    members, star = rows.select("cid", "copy", "rid"), None
-    if not every:
-        texts = members.groupBy("cid", "copy").agg(F.count("*").alias("n"), F.min("rid").alias("head"))
-        held = join_unique(members, texts, ["cid", "copy"], "n", rows.count())
-        copied = (F.col("n") > COPIES) & (F.col("rid") != F.col("head"))
-        star = held.where(copied).select(F.col("head").alias("x"), F.col("rid").alias("y"))
-        members = cut(held.where(~copied).select("cid", "rid"))
+    members, pairs = _classes(docs, least, similarity, key, trees)
     counts = members.groupBy("cid").agg(F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / IDS)).cast("int")
-    blocks = join_unique(members.select("cid", "rid"), counts, ["cid"], "n", rows.count()).withColumn("block", block).groupBy("cid", "n", "block").agg(F.collect_list("rid").alias("ids"))
+    blocks = join_unique(members, counts, ["cid"], "n", members.count()).withColumn("block", block).groupBy("cid", "n", "block").agg(F.collect_list("rid").alias("ids"))
     blocks = cut(blocks)
     left = blocks.select(F.col("cid").alias("a"), "n", F.col("block").alias("ba"), F.col("ids").alias("ia"))
     right = blocks.select(F.col("cid").alias("b"), F.col("block").alias("bb"), F.col("ids").alias("ib"))
@@ -255,4 +278,4 @@ def near_duplicates(docs: DataFrame, least: int = 30, similarity: tuple[int, int
     # a hot class's pairs of blocks leave the task that made them before they become pairs of ids
     met = across.unionByName(within).repartition(F.xxhash64("ia", "ib"))
     out = met.select("same", "ib", F.explode("ia").alias("x")).select("same", "x", F.explode("ib").alias("y")).where("not same or x < y").select("x", "y")
-    return (out if star is None else out.unionByName(star)).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -151,15 +151,24 @@ def _(spark, d):
 # 6: near-duplicates
 
 
-@query(
-    "p6_found",
-    """WITH o AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY added_at DESC NULLS LAST) AS i FROM docs WHERE id IS NOT NULL AND text IS NOT NULL),
+SIMILAR = """WITH o AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY added_at DESC NULLS LAST) AS i FROM docs WHERE id IS NOT NULL AND text IS NOT NULL),
 t AS (SELECT id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS t FROM o WHERE i = 1), b AS (SELECT id, t, len(t) AS n FROM t WHERE len(t) >= 30),
-w AS (SELECT id, n, unnest(t) AS term FROM b), s AS (SELECT x.id AS id_a, y.id AS id_b, x.n AS n, y.n AS m, count(*) AS c FROM w x JOIN w y ON x.term = y.term AND x.id < y.id AND x.n * 10 >= y.n * 8 AND y.n * 10 >= x.n * 8 GROUP BY ALL)
-SELECT id_a, id_b FROM s WHERE c * 10 >= (n + m - c) * 8""",
+w AS (SELECT id, n, unnest(t) AS term FROM b), s AS (SELECT x.id AS id_a, y.id AS id_b, x.n AS n, y.n AS m, count(*) AS c FROM w x JOIN w y ON x.term = y.term AND x.id < y.id AND x.n * 10 >= y.n * 8 AND y.n * 10 >= x.n * 8 GROUP BY ALL)"""
+
+
+@query("p6_found", f"{SIMILAR} SELECT id_a, id_b FROM s WHERE c * 10 >= (n + m - c) * 8")
+def _(spark, d):
+    return neardup.near_duplicates(table(spark, d, "docs"))
+
+
+@query(
+    "p6_links",
+    f"""{SIMILAR}, p AS (SELECT id_a, id_b FROM s WHERE c * 10 >= (n + m - c) * 8), e AS (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p), l AS (SELECT id, count(*) AS links FROM e GROUP BY ALL)
+SELECT b.id, min(b.id) OVER (PARTITION BY list_sort(b.t)) AS class_id, coalesce(l.links, 0)::BIGINT AS links FROM b LEFT JOIN l ON b.id = l.id""",
 )
 def _(spark, d):
-    return neardup.near_duplicates(table(spark, d, "docs"), every=True)
+    """One row a record: its class of equal term sets and the number of its links."""
+    return neardup.linked(table(spark, d, "docs"))
 
 
 # 7: encoding
