@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +13,8 @@ from lodeseek.operators.topk import top_k
 
 #: A query set of at most so many bytes (as doubles) travels with the tasks; a larger one is split in blocks.
 QUERY_BYTES = 32 << 20
+#: Distances held at a time (64 MB), and documents of one block of them.
+PRODUCTS, DOC_ROWS = 8_000_000, 8_192
 HITS = "query_id long, node_id long, dist double"
 
 
@@ -46,10 +50,45 @@ def best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return rows[keep], cols[keep]
 
 
+def nearest_rows(metric: str, k: int, queries: np.ndarray, ids: np.ndarray, docs: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, document row, distance) of each query's k nearest documents; score(queries, docs) replaces the metric, an infinite one drops the
+    pair. However many there are, at most about PRODUCTS distances are held at a time."""
+    score = score or (lambda a, b: distances(metric, a, b))
+    out = []
+    width = max(1, min(len(docs), DOC_ROWS))
+    step = max(1, PRODUCTS // width)
+    for q in range(0, len(queries), step):
+        found = []
+        for at in range(0, len(docs), width):
+            dist = score(queries[q : q + step], docs[at : at + width])
+            rows, cols = best(dist, ids[at : at + width], k)
+            d = dist[rows, cols]
+            good = np.isfinite(d)
+            found.append((rows[good] + q, cols[good] + at, d[good]))
+        rows, cols, d = (np.concatenate(c) for c in zip(*found))
+        if len(found) > 1:
+            order = np.lexsort((ids[cols], np.round(d, 9), rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, cols, d = rows[keep], cols[keep], d[keep]
+        out.append((rows, cols, d))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def _batch(metric: str, k: int, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    dist = distances(metric, queries, docs)
-    rows, cols = best(dist, ids, k)
-    return pa.RecordBatch.from_arrays([pa.array(qids[rows], pa.int64()), pa.array(ids[cols], pa.int64()), pa.array(dist[rows, cols])], ["query_id", "node_id", "dist"])
+    rows, cols, dist = nearest_rows(metric, k, queries, ids, docs)
+    return pa.RecordBatch.from_arrays([pa.array(qids[rows], pa.int64()), pa.array(ids[cols], pa.int64()), pa.array(dist)], ["query_id", "node_id", "dist"])
+
+
+def query_blocks(queries: DataFrame, most: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of queries(query_id, v) in blocks of about `most` bytes; counted before any of them comes to the driver."""
+    queries = queries.select(F.col("query_id").cast("long"), "v").where("v is not null")
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = -(-size["n"] * 8 * max(size["d"] or 1, 1) // most)
+    for i in range(blocks):
+        block = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).orderBy("query_id").toArrow()
+        if block.num_rows:
+            yield np.asarray(block["query_id"]), matrix(block["v"])
 
 
 def exact_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", where: Column | None = None, query_bytes: int = QUERY_BYTES, doc_block: int = 100_000) -> DataFrame:
@@ -96,7 +135,11 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot"
 
 
 def native_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot") -> DataFrame:
-    """The same result as Catalyst expressions only, for a small query set (the join is a nested loop over a broadcast side)."""
+    """The same result as Catalyst expressions only. The join is a nested loop over the queries, which are broadcast, so more than QUERY_BYTES of them
+    are refused."""
+    size = queries.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first()["n"]
+    if size * 8 > QUERY_BYTES:
+        raise ValueError("too many queries to broadcast; use exact_top_k")
     pairs = docs.select("node_id", F.col("v").alias("dv")).crossJoin(F.broadcast(queries.select("query_id", F.col("v").alias("qv"))))
     scored = pairs.select("query_id", "node_id", distance(metric, F.col("qv"), F.col("dv")).alias("dist"))
     return top_k(scored, ["query_id"], [F.round("dist", 9), F.col("node_id")], k).select("query_id", "rank", "node_id", "dist")

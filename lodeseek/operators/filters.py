@@ -1,7 +1,10 @@
-"""Metadata predicates in document-store notation, compiled to Spark columns that are never null.
+"""Metadata predicates in document-store notation, compiled to Spark columns.
 
 Two modes: typed columns (pass the schema of a struct or frame) and VARIANT metadata (one column with
 whatever JSON each document has). A missing field fails every test but $ne, $nin and {"$exists": false}.
+
+VARIANT predicates are never null. Typed ones are for WHERE: a comparison in positive position is left bare, so that it reaches the scan, and may be
+null, which a WHERE takes as false; only below a negation ($ne, $nin, $nor) nulls are turned into false.
 """
 
 from __future__ import annotations
@@ -54,10 +57,11 @@ def _conditions(key: str, value: object) -> list[tuple[str, object]]:
     return list(value.items())
 
 
-def _build(node: tuple, field: Callable[[str, list], Column]) -> Column:
+def _build(node: tuple, field: Callable[[str, list, bool], Column], bare: bool) -> Column:
+    """bare: whether a null may stand for false here."""
     if node[0] == "field":
-        return field(node[1], node[2])
-    parts = [_build(x, field) for x in node[1]]
+        return field(node[1], node[2], bare)
+    parts = [_build(x, field, bare and node[0] != "$nor") for x in node[1]]
     if not parts:
         return F.lit(True)
     if node[0] == "$and":
@@ -81,49 +85,65 @@ def _order(op: str, a: Column, b: Column) -> Column:
 # typed columns
 
 
-def _typed_eq(c: Column, kind: T.DataType, target: object) -> Column:
-    if isinstance(kind, T.ArrayType):
-        return _never_null(F.exists(c, lambda x: _typed_eq_one(x, kind.elementType, target)))
-    return _typed_eq_one(c, kind, target)
-
-
-def _typed_eq_one(c: Column, kind: T.DataType, target: object) -> Column:
+def _literal(kind: T.DataType, target: object) -> Column | None:
+    """The target as a literal of the column's own type, None where no value of that type equals it: a cast of the column would keep the comparison
+    from the scan."""
     if isinstance(kind, T.BooleanType):
-        same = isinstance(target, bool)
-    elif isinstance(kind, T.NumericType):
-        same = _is_number(target)
-    else:
-        same = isinstance(kind, T.StringType) and isinstance(target, str)
-    if not same:
+        return F.lit(target) if isinstance(target, bool) else None
+    if isinstance(kind, T.StringType):
+        return F.lit(target) if isinstance(target, str) else None
+    if not isinstance(kind, T.NumericType) or not _is_number(target):
+        return None
+    if isinstance(kind, T.IntegralType):
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(kind), 63)
+        whole = target == math.floor(target) if math.isfinite(target) else False
+        return F.lit(int(target)).cast(kind) if whole and -(1 << bits) <= target < 1 << bits else None
+    return F.lit(float(target)) if isinstance(kind, T.DoubleType) else F.lit(target)
+
+
+def _typed_eq(c: Column, kind: T.DataType, targets: list) -> Column:
+    """Whether the column, or an element of an array column, equals one of the targets; null if it is missing."""
+    if isinstance(kind, T.ArrayType):
+        return F.exists(c, lambda x: _never_null(_typed_eq(x, kind.elementType, targets)))
+    held = [x for t in targets if (x := _literal(kind, t)) is not None]
+    if not held:
         return F.lit(False)
-    return _never_null(c.cast("double") == F.lit(float(target)) if _is_number(target) and not isinstance(kind, T.LongType) or isinstance(target, float) else c == F.lit(target))
+    return c == held[0] if len(held) == 1 else c.isin(*held)
 
 
-def _typed_op(c: Column, kind: T.DataType, op: str, target: object) -> Column:
-    if op == "$eq":
-        return _typed_eq(c, kind, target)
-    if op == "$ne":
-        return ~_typed_eq(c, kind, target)
-    if op in ("$in", "$nin"):
-        some = reduce(lambda a, b: a | b, [_typed_eq(c, kind, x) for x in target], F.lit(False))
-        return some if op == "$in" else ~some
+def _typed_op(c: Column, kind: T.DataType, op: str, target: object, bare: bool) -> Column:
+    shown = (lambda x: x) if bare else _never_null
+    if op in ("$eq", "$in"):
+        return shown(_typed_eq(c, kind, target if op == "$in" else [target]))
+    if op in ("$ne", "$nin"):
+        return ~_never_null(_typed_eq(c, kind, target if op == "$nin" else [target]))
     if op == "$exists":
         return c.isNotNull() if target else c.isNull()
-    fits = isinstance(kind, T.NumericType) and _is_number(target) or isinstance(kind, T.StringType) and isinstance(target, str)
-    return _never_null(_order(op, c, F.lit(target))) if fits else F.lit(False)
+    if isinstance(kind, T.StringType) and isinstance(target, str):
+        return shown(_order(op, c, F.lit(target)))
+    if not isinstance(kind, T.NumericType) or not _is_number(target):
+        return F.lit(False)
+    if isinstance(kind, T.IntegralType) and not isinstance(target, int):
+        if not math.isfinite(target):
+            above = target > 0
+            return c.isNotNull() if above == (op in ("$lt", "$lte")) and not math.isnan(target) else F.lit(False)
+        # x > 2.5 and x >= 2.5 mean x >= 3 in whole numbers
+        target, op = {"$gt": (math.floor(target), op), "$gte": (math.ceil(target), op), "$lt": (math.ceil(target), op), "$lte": (math.floor(target), op)}[op]
+    literal = _literal(kind, target)
+    return shown(_order(op, c, F.lit(target) if literal is None else literal))
 
 
 def compile_typed(spec: dict, schema: T.StructType, prefix: str | None = None) -> Column:
-    """A column for data with a declared schema; SQL NULL counts as a missing field. Plain comparisons reach the scan."""
+    """A column for WHERE over data with a declared schema; SQL NULL counts as a missing field. Comparisons in positive position reach the scan."""
     kinds = {f.name: f.dataType for f in schema.fields}
 
-    def field(key: str, conditions: list) -> Column:
+    def field(key: str, conditions: list, bare: bool) -> Column:
         if key not in kinds:
             return _build_missing(conditions)
         c = F.col(f"{prefix}.`{key}`" if prefix else f"`{key}`")
-        return reduce(lambda a, b: a & b, [_typed_op(c, kinds[key], op, target) for op, target in conditions])
+        return reduce(lambda a, b: a & b, [_typed_op(c, kinds[key], op, target, bare) for op, target in conditions])
 
-    return _build(parse(spec), field)
+    return _build(parse(spec), field, True)
 
 
 def _build_missing(conditions: list) -> Column:
@@ -187,11 +207,11 @@ def _variant_op(v: Column, op: str, target: object) -> Column:
 def compile_variant(spec: dict, metadata: Column) -> Column:
     """A column for VARIANT metadata. Metadata that is null or no object has no fields."""
 
-    def field(key: str, conditions: list) -> Column:
+    def field(key: str, conditions: list, bare: bool) -> Column:
         v = F.try_variant_get(metadata, _path(key), "variant")
         return reduce(lambda a, b: a & b, [_variant_op(v, op, target) for op, target in conditions])
 
-    return _build(parse(spec), field)
+    return _build(parse(spec), field, False)
 
 
 def compile_json(spec: dict, text: Column) -> Column:

@@ -8,6 +8,8 @@ from lodeseek.functions.text import distinct_terms, tokens
 from lodeseek.operators.topk import top_k
 
 K1, B = 1.2, 0.75
+#: Terms that a scan takes as literals.
+FEW_TERMS = 200
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -42,8 +44,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def score(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, node_id, score) for every document with at least one term of the query."""
+    """(query_id, node_id, score) for every document with at least one term of the query. Up to FEW_TERMS different terms are given to the scan as
+    literals, so an index that is sorted by term is read only where they are; the result is the same beyond."""
     terms = query_terms(queries)
+    few = terms.select("term").distinct().limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        index = index.where(F.col("term").isin([r["term"] for r in few]))
     wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = doc_frequency(wanted)
     hits = terms.join(df, "term").join(wanted, "term").join(lengths, "node_id").crossJoin(F.broadcast(stats(lengths)))

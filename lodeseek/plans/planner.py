@@ -1,23 +1,18 @@
-"""Which physical way a vector search takes."""
+"""Which physical way a vector search takes: what the caller says, at every size."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+MODES = ("graph", "codes", "exact")
 
 
-@dataclass(frozen=True)
-class Choice:
-    kind: str  # exact, cascade or graph
-    ef: int
+def mode_of(name: str) -> str:
+    """graph: walk the stored graphs, filters restrict results; codes: scan the stored int8 codes behind the sign bits and re-score; exact: scan the
+    vectors, filters come before scoring."""
+    if name not in MODES:
+        raise ValueError(f"unknown mode {name!r}; expected one of {MODES}")
+    return name
 
 
-#: Below this many documents a full-precision scan costs less than anything cleverer.
-EXACT_BELOW = 200_000
-
-
-def choose(n: int, k: int, filtered: bool, ef: int | None = None, graph_ready: bool = False) -> Choice:
-    """Filters narrow the scan before scoring, so they always scan. A built graph serves large unfiltered collections."""
-    ef = max(ef or 8 * k, k)
-    if filtered or n <= EXACT_BELOW:
-        return Choice("exact", ef)
-    return Choice("graph" if graph_ready else "cascade", ef)
+def beam(k: int, ef: int | None) -> int:
+    """Candidates of an approximate search: as asked, else eight times k, at least k."""
+    return max(ef or 8 * k, k)

@@ -5,7 +5,6 @@ Searches take as queries the rows whose id is divisible by 100, against all rows
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodeseek.functions import text as tx, vectors as vx
 from lodeseek.operators import embed, evaluate, exact, filters, fusion, graph, keyword, quantized
 from lodeseek.plans.collection import Collection
-from lodeseek.session import cut, shared_dir, table
+from lodeseek.session import cut, scratch, stored, table
 from lodeseek.sources import generators, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,8 +220,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9)
 def _(spark, d):
     """Documents whose signs against the 64 Walsh rows differ from the query's in at most 28 places."""
     docs = _docs(spark, d)
-    n = docs.count()
-    return _hits(quantized.cascade_top_k(docs, _asked(docs), K, n, prefilter=True, planes=vx.walsh_planes(64), limit=28))
+    return _hits(quantized.signed_top_k(docs, _asked(docs), K, planes=vx.walsh_planes(64), limit=28))
 
 
 @query("walsh_signatures", f"WITH s AS (SELECT vec_id, {WALSH}[1:16] AS b FROM embeddings) SELECT vec_id, list_sum([(b[i + 1]::INT << i)::BIGINT for i in range(16)])::BIGINT AS sig FROM s")
@@ -390,16 +388,36 @@ for _name, (_spec, _sql) in PROPS.items():
 # collection, snapshots, evaluation
 
 
+def _held(spark: SparkSession, d: str) -> Collection:
+    """The documents as a collection."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("doc_id").cast("string").alias("id"), "text", F.to_json(F.struct("lang", "source")).alias("metadata"))
+    held = Collection(spark)
+    held.add_frame(docs)
+    return held
+
+
 @query("get_by_id", "SELECT doc_id, text FROM documents WHERE doc_id = 7 ORDER BY doc_id LIMIT 1")
 def _(spark, d):
-    return table(spark, d, "documents").where("doc_id = 7").orderBy("doc_id").limit(1).select("doc_id", "text")
+    return _held(spark, d).by_id("7").select(F.col("node_id").alias("doc_id"), "text")
 
 
 @query("hydrate_hits", f"WITH t AS ({_topk_sql(DOT)}) SELECT t.query_id, t.rank, t.node_id, d.lang, d.source FROM t JOIN documents d ON d.doc_id = t.node_id")
 def _(spark, d):
     docs = _docs(spark, d)
-    hits = exact.exact_top_k(docs, _asked(docs), K)
-    return hits.join(table(spark, d, "documents"), F.col("doc_id") == F.col("node_id")).select("query_id", "rank", "node_id", "lang", "source")
+    found = _held(spark, d).hydrate(exact.exact_top_k(docs, _asked(docs), K))
+    return found.select("query_id", "rank", "node_id", F.get_json_object("metadata", "$.lang").alias("lang"), F.get_json_object("metadata", "$.source").alias("source"))
+
+
+@query(
+    "collection_search",
+    """SELECT count(*) AS asked, count(*) AS first_is_itself FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)""",
+)
+def _(spark, d):
+    """Every hundredth vector asked of a collection through its graph: the nearest document is the one itself."""
+    held = Collection(spark)
+    held.add_frame(_docs(spark, d).select("node_id", F.col("node_id").cast("string").alias("id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("metadata"), "v"))
+    found = held.search_batch(_asked(_docs(spark, d)).withColumn("text", F.lit("")), 1)
+    return found.agg(F.count("*").alias("asked"), F.sum((F.col("id") == F.col("query_id").cast("string")).cast("long")).alias("first_is_itself"))
 
 
 @query("collection_count", "SELECT count(*) AS docs, max(len(embedding))::INT AS dim, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings")
@@ -420,7 +438,7 @@ def _(spark, d):
 
 @query("snapshot_roundtrip", "SELECT vec_id AS node_id, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings")
 def _(spark, d):
-    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    path = scratch(spark, "snapshot")
     snapshot.save({"docs": _docs(spark, d)}, path, {"dim": 64})
     return snapshot.load(spark, path)[0]["docs"].select("node_id", F.round(F.element_at("v", 1).cast("double"), 6).alias("head"))
 
@@ -443,6 +461,25 @@ def _(spark, d):
     return evaluate.percentile_rank(table(spark, d, "events"), "value", [0.5, 0.95, 0.99], ["event_type"])
 
 
+@query(
+    "latency_summary",
+    """WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value > 0)
+SELECT event_type, count(*) AS queries, round(avg(value), 6) AS mean_us, round(1e6::DOUBLE * count(*) / sum(value), 3) AS qps, max(CASE WHEN i = round(0.5::DOUBLE * (n - 1)) THEN value END) AS p50, max(CASE WHEN i = round(0.95::DOUBLE * (n - 1)) THEN value END) AS p95, max(CASE WHEN i = round(0.99::DOUBLE * (n - 1)) THEN value END) AS p99 FROM s GROUP BY event_type""",
+)
+def _(spark, d):
+    return evaluate.latencies(table(spark, d, "events").where("value > 0"), "value", ["event_type"]).withColumn("mean_us", F.round("mean_us", 6)).withColumn("qps", F.round("qps", 3))
+
+
+@query("generator_checks", "SELECT 2000::BIGINT AS nodes, true AS uniform_has_unit_length, true AS clusters_are_tight")
+def _(spark, d):
+    """What the two generators promise: a mean squared length of 1, and rows that lie nearer to their own cluster's than to others."""
+    mean = generators.uniform(spark, 2_000, 32, 7).agg(F.avg(F.pow(vx.norm(F.col("v")), 2)).alias("m"))
+    rows = generators.clustered(spark, 2_000, 32, 16, 7).withColumn("g", F.col("node_id") % 16)
+    first = rows.where("node_id < 16").select(F.col("g").alias("c"), F.col("v").alias("w"))
+    near = rows.join(F.broadcast(first)).select("g", "c", vx.l2sq(F.col("v"), F.col("w")).alias("x")).agg(F.avg(F.when(F.col("g") == F.col("c"), F.col("x"))).alias("own"), F.avg(F.when(F.col("g") != F.col("c"), F.col("x"))).alias("other"))
+    return rows.agg(F.count("*").alias("nodes")).join(mean).join(near).select("nodes", (F.abs(F.col("m") - 1) < 0.05).alias("uniform_has_unit_length"), (F.col("own") * 4 < F.col("other")).alias("clusters_are_tight"))
+
+
 @query("uniform_vectors")
 def _(spark, d):
     return generators.uniform(spark, 2_000, 32, 7).select("node_id", F.round(vx.norm(F.col("v")), 4).alias("norm"))
@@ -477,3 +514,84 @@ def _(spark, d):
 def _(spark, d):
     packed = graph.pack(cut(graph.build(_docs(spark, d), GRAPH)))
     return packed.groupBy("level").agg(F.count("*").alias("rows"), F.sum(F.size("neighbours")).alias("links"))
+
+
+RECALL = "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 100 = 0"
+
+
+def _enough(found: DataFrame, truth: DataFrame, least: float = 0.95) -> DataFrame:
+    return evaluate.recall(found, truth).agg(F.count("*").alias("asked"), (F.avg("recall") >= least).alias("enough"))
+
+
+@query("hnsw_recall", RECALL)
+def _(spark, d):
+    """Recall of the graph walk at least 0.95."""
+    docs = _docs(spark, d)
+    return _enough(graph.search_packed(stored(graph.build_packed(docs, GRAPH)), _asked(docs), K, 64, GRAPH), exact.exact_top_k(docs, _asked(docs), K))
+
+
+@query("hnsw_filtered_recall", RECALL)
+def _(spark, d):
+    """The same among even ids, which the walk takes into account."""
+    docs = _docs(spark, d)
+    even = docs.where("node_id % 2 = 0")
+    found = graph.search_packed(stored(graph.build_packed(docs, GRAPH)), _asked(docs), K, 64, GRAPH, even)
+    return _enough(found.where("node_id % 2 = 0"), exact.exact_top_k(even, _asked(docs), K))
+
+
+@query("hnsw_int8_recall", RECALL)
+def _(spark, d):
+    """Walk on int8 codes behind sign bits, results re-scored."""
+    docs = _docs(spark, d)
+    config = graph.GraphConfig(m=8, ef_construction=64, shard_rows=5_000, int8=True, qrange=0.6)
+    return _enough(graph.search_packed(stored(graph.build_packed(docs, config)), _asked(docs), K, 64, config), exact.exact_top_k(docs, _asked(docs), K))
+
+
+@query("hnsw_invariants", "SELECT count(*) AS nodes, true AS within_caps, true AS links_hold, true AS no_link_to_itself FROM embeddings")
+def _(spark, d):
+    """Degree caps, links to rows that exist and reach the level, none to the row itself."""
+    nodes = cut(graph.build(_docs(spark, d), GRAPH))
+    links = graph.pack(nodes).select("level", "src", F.size("neighbours").alias("degree"), F.explode_outer("neighbours").alias("dst"))
+    ends = links.join(nodes.select(F.col("node_id").alias("dst"), F.col("level").alias("top")), "dst", "left")
+    about = ends.agg(
+        F.min(F.col("degree") <= F.when(F.col("level") == 0, GRAPH.m0).otherwise(GRAPH.m)).alias("within_caps"),
+        F.min(F.coalesce(F.col("top") >= F.col("level"), F.col("dst").isNull())).alias("links_hold"),
+        F.min(F.coalesce(F.col("dst") != F.col("src"), F.lit(True))).alias("no_link_to_itself"),
+    )
+    return graph.graph_stats(nodes).select("nodes").join(about)
+
+
+@query("hnsw_snapshot", "SELECT count(*) * 10 AS hits, 0::BIGINT AS differing FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    """A saved and loaded collection answers as before, through its stored graph and without building one."""
+    held = Collection(spark, config=GRAPH)
+    held.add_frame(_docs(spark, d).select("node_id", F.col("node_id").cast("string").alias("id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("metadata"), "v"))
+    held.index()
+    path = scratch(spark, "snapshot")
+    held.save(path)
+    asked = _asked(_docs(spark, d)).withColumn("text", F.lit(""))
+    before = cut(held.search_batch(asked, K).select("query_id", "rank", "id", F.round("score", 9).alias("score")))
+    after = cut(Collection.load(spark, path, read_only=True).search_batch(asked, K).select("query_id", "rank", "id", F.round("score", 9).alias("score")))
+    return before.agg(F.count("*").alias("hits")).join(before.exceptAll(after).unionByName(after.exceptAll(before)).agg(F.count("*").alias("differing")))
+
+
+@query(
+    "int8_stored_rerank",
+    ORACLES["int8_rerank"],
+)
+def _(spark, d):
+    """int8_rerank from stored codes, fetching the vectors of the candidates only."""
+    docs = _docs(spark, d)
+    qrange = quantized.calibrate(docs).first()["qrange"]
+    return _hits(quantized.tier_top_k(stored(quantized.build_tier(docs, qrange)), docs, _asked(docs), K, 40, qrange))
+
+
+@query("int8_kernels", f"WITH {CODES} SELECT q.vec_id AS query_id, e.vec_id AS node_id, list_inner_product(q.code::DOUBLE[], e.code::DOUBLE[])::INT AS dot, pow(list_distance(q.code::DOUBLE[], e.code::DOUBLE[]), 2).round()::INT AS l2sq, round(1 - list_inner_product(q.code::DOUBLE[], e.code::DOUBLE[]) * (e.r / 127) * (e.r / 127), 6) + 0 AS dist FROM c q, c e WHERE q.vec_id % 100 = 0")
+def _(spark, d):
+    """Integer products and distances of codes as expressions, for the stated queries against all rows."""
+    docs = _docs(spark, d)
+    qrange = quantized.calibrate(docs).first()["qrange"]
+    coded = docs.select("node_id", vx.quantize(F.col("v"), qrange).alias("code"))
+    asked = coded.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), F.col("code").alias("q"))
+    pairs = coded.join(F.broadcast(asked))
+    return pairs.select("query_id", "node_id", vx.dot_i8(F.col("q"), F.col("code")).alias("dot"), vx.l2sq_i8(F.col("q"), F.col("code")).alias("l2sq"), (F.round(vx.distance_i8("dot", F.col("q"), F.col("code"), qrange), 6) + F.lit(0.0)).alias("dist"))

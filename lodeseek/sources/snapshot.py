@@ -1,4 +1,4 @@
-"""Snapshots: a folder of Parquet tables with a manifest, written last."""
+"""Snapshots: a folder of versions, each a folder of Parquet tables with a manifest written last, and a pointer to the one that holds."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT, VERSION = "lodeseek-collection", 1
+FORMAT, VERSION = "lodeseek-collection", 2
 
 
 class SnapshotError(ValueError):
@@ -19,36 +19,81 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+        return None
+    source = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode("utf-8", "replace")
+    finally:
+        source.close()
+
+
 def save(tables: dict[str, DataFrame], path: str, config: dict) -> None:
-    """Write to a folder beside path, then rename: a reader sees all of a snapshot or nothing of it."""
+    """Write a new version beside those present, then switch the pointer, one small file. Until then a reader sees the old version, also
+    when the writer dies; the old versions are removed afterwards."""
     spark = next(iter(tables.values())).sparkSession
-    temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    path = path.rstrip("/")
+    version = f"version-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{temp}/{name}")
+        df.write.parquet(f"{path}/{version}/{name}")
     manifest = {"format": FORMAT, "version": VERSION, "tables": sorted(tables), "config": config}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{temp}/manifest")
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, temp)[1], target):
-        raise SnapshotError(f"could not move the snapshot to {path}")
+    _write_text(spark, f"{path}/{version}/manifest.json", json.dumps(manifest))
+    # written aside and renamed over the old pointer, which file systems of Hadoop do in one step
+    _write_text(spark, f"{path}/CURRENT.new", version)
+    fs, fresh = _fs(spark, f"{path}/CURRENT.new")
+    fresh = fs.makeQualified(fresh)
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fresh, fs.makeQualified(_fs(spark, f"{path}/CURRENT")[1]), options)
+    fs, folder = _fs(spark, path)
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name != version:
+            fs.delete(status.getPath(), True)
+
+
+def root(spark: SparkSession, path: str) -> str:
+    """The folder of the version that holds."""
+    name = _read_text(spark, f"{path.rstrip('/')}/CURRENT")
+    if name is None:
+        raise SnapshotError(f"no snapshot in {path}")
+    return f"{path.rstrip('/')}/{name.strip()}"
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
-    fs, p = _fs(spark, f"{path}/manifest")
-    if not fs.exists(p):
+    text = _read_text(spark, f"{root(spark, path)}/manifest.json")
+    if text is None:
         raise SnapshotError(f"no manifest in {path}")
     try:
-        found = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))
+        found = json.loads(text)
     except ValueError as e:
         raise SnapshotError("the manifest is broken") from e
-    if found.get("format") != FORMAT:
+    if not isinstance(found, dict) or found.get("format") != FORMAT:
         raise SnapshotError("this is no snapshot of a collection")
     if found.get("version") != VERSION:
         raise SnapshotError(f"unsupported version {found.get('version')}")
+    base = root(spark, path)
+    for name in found.get("tables", []):
+        fs, p = _fs(spark, f"{base}/{name}/_SUCCESS")
+        if not fs.exists(p):
+            raise SnapshotError(f"table {name} is missing or incomplete")
     return found
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     found = manifest(spark, path)
-    return {name: spark.read.parquet(f"{path}/{name}") for name in found["tables"]}, found["config"]
+    base = root(spark, path)
+    return {name: spark.read.parquet(f"{base}/{name}") for name in found["tables"]}, found["config"]
