@@ -118,10 +118,24 @@ class TrieEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TrieEncoder:
-    """One encoder a worker and vocabulary."""
+def _encoder(file: bytes) -> TrieEncoder:
+    return TrieEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())})
+
+
+@lru_cache(maxsize=2)
+def vocabulary_file(path: str) -> bytes:
     with open(path, "rb") as f:
-        return TrieEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return f.read()
+
+
+def encoder(path: str) -> TrieEncoder:
+    """One encoder a process and vocabulary."""
+    return _encoder(vocabulary_file(path))
+
+
+def _shipped(df: DataFrame, path: str):
+    """The vocabulary file as a broadcast: the driver reads it, so no worker needs the path. A public vocabulary has a few megabytes at most."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary_file(path))
 
 
 def _kind(df: DataFrame, key: str) -> str:
@@ -131,8 +145,10 @@ def _kind(df: DataFrame, key: str) -> str:
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids ARRAY<INT>) for every row, in place: no shuffle. Null and empty texts have an empty list."""
 
+    shared = _shipped(df, vocabulary)
+
     def run(batches):
-        e = encoder(vocabulary)
+        e = _encoder(shared.value)
         for b in batches:
             coded = e.encode_batch(b[text].to_pylist())
             ids = [np.fromiter(chain.from_iterable(c), dtype=np.int32) for c in coded]
@@ -146,8 +162,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns of keep plus tokens LONG."""
 
+    shared = _shipped(df, vocabulary)
+
     def run(batches):
-        e = encoder(vocabulary)
+        e = _encoder(shared.value)
         for b in batches:
             n = [sum(map(len, c)) for c in e.encode_batch(b[text].to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(n, pa.int64())], [*keep, "tokens"])
