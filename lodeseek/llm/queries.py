@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeseek.llm import distinctive, encode, frequency, fuse, mix, neardup, neighbours, split, subjects
-from lodeseek.session import table
+from lodeseek.session import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -203,6 +203,25 @@ def _(spark, d):
     return mix.schedule(sized, mix.capacities(sized, targets))
 
 
+@query("p8_checks", "SELECT count(DISTINCT source) AS sources, true AS shares_sum_to_one, true AS repeats_hold, true AS short_ones_are_used_up, true AS others_reach_their_target, true AS uses_are_distinct FROM mix_targets WHERE source IS NOT NULL")
+def _(spark, d):
+    """What the mix promises: shares that sum to 1, no document used more often than allowed, short sources used up, all others at their target."""
+    targets = table(spark, d, "mix_targets")
+    sized = mix.sizes(table(spark, d, "documents"), targets)
+    caps = cut(mix.capacities(sized, targets))
+    mixed = cut(mix.schedule(sized, caps))
+    shares = mix.shares(mixed, caps).join(caps.select("source", "wanted", "capacity"), "source")
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("repeat").alias("m")).join(caps.select("source", F.col("max_repeats").alias("most")), "source")
+    held = uses.agg(F.min(F.col("n") <= F.col("most")).alias("repeats_hold"), F.min(F.col("n") == F.col("m")).alias("uses_are_distinct"))
+    about = shares.agg(
+        F.count("*").alias("sources"),
+        (F.abs(F.sum("actual_share") - 1) < 1e-9).alias("shares_sum_to_one"),
+        F.min(~F.col("short") | (F.col("used") == F.col("capacity"))).alias("short_ones_are_used_up"),
+        F.min(F.col("short") | (F.col("used") >= F.floor(F.col("wanted")))).alias("others_reach_their_target"),
+    )
+    return about.join(held)
+
+
 # 9: subject areas
 
 
