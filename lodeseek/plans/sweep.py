@@ -40,3 +40,25 @@ def sweep(spark: SparkSession, n: int, dim: int, queries: int, k: int = 10, efs:
         took = time.time() - began
         runs.append({"way": way, "ef": ef, "queries": count, "seconds": round(took, 3), "ms_per_query": round(1000 * took / count, 3), "qps": round(count / took), "recall": evaluate.mean_recall(found, want).first()["recall"]})
     return {"build": build, "runs": runs}
+
+
+def live(collection, texts: list[str], k: int = 5, efs: tuple[int, ...] = (32, 128), warm: int = 3, rounds: int = 10, mode: str = "graph") -> list[dict]:
+    """One text a search, as a caller sees it: for each beam width the recall against the exact search, taken from the first round, and percentiles, mean
+    and rate of the measured times after `warm` rounds. A Spark job a query: for latency, not for throughput."""
+    asked = list(enumerate(texts))
+    ids = lambda found: {r["id"] for r in found}
+    truth = {i: ids(collection.search(t, k, mode="exact")) for i, t in asked}
+    out = []
+    for ef in efs:
+        times, hit = [], 0
+        for turn in range(warm + rounds):
+            for i, t in asked:
+                began = time.perf_counter()
+                found = collection.search(t, k, ef=ef, mode=mode)
+                if turn >= warm:
+                    times.append((time.perf_counter() - began) * 1e6)
+                if turn == 0:
+                    hit += len(ids(found) & truth[i]) / max(len(truth[i]), 1)
+        about = evaluate.latencies(collection.spark.createDataFrame([("e2e", t) for t in times], "way string, us double"), "us", ["way"]).first().asDict()
+        out.append({"ef": ef, "recall": round(hit / max(len(asked), 1), 4), **{c: about[c] for c in ("queries", "mean_us", "qps", "p50", "p95", "p99")}})
+    return out

@@ -11,6 +11,7 @@ from lodeseek.functions import register, text as tx, vectors as vx
 from lodeseek.operators import embed, evaluate, exact, filters, fusion, graph, keyword, quantized
 from lodeseek.operators.topk import positions, top_k
 from lodeseek.plans.collection import Collection
+from lodeseek.plans import sweep
 from lodeseek.plans.queries import QUERIES
 from lodeseek.sources import corpus, generators, snapshot
 from lodeseek.streaming import ingest
@@ -411,3 +412,13 @@ def test_percentile_is_not_interpolated(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 2, 9)], "g string, x double")
     got = {r["p"]: r["value"] for r in evaluate.percentile_rank(df, "x", [0.0, 0.5, 1.0], ["g"]).collect()}
     assert got == {0.0: 1.0, 0.5: 2.0, 1.0: 9.0}
+
+
+def test_benchmarks_report(spark):
+    got = sweep.sweep(spark, 300, 8, 10, 3, (20,), shard_rows=300)
+    assert got["build"]["nodes"] == 300 and {r["way"] for r in got["runs"]} == {"exact", "codes", "graph", "graph, 20 % allowed"}
+    assert all(r["recall"] >= 0.9 for r in got["runs"])
+    c = Collection(spark, embed.HashEmbedder(dim=256))
+    c.add_batch(["a", "b", "c"], ["red kite", "blue whale", "green fern"])
+    rows = sweep.live(c, ["whale"], 1, (8,), 0, 2)
+    assert rows[0]["recall"] == 1.0 and rows[0]["queries"] == 2 and rows[0]["p50"] > 0
