@@ -5,6 +5,9 @@ slot floor(j / w) and due by slot ceil((j + 1) / w); the released block due earl
 each source then lies less than one block from its share. The weights are the exact block counts, so the schedule repeats after
 the slots divided by the counts' common divisor; one such period is computed on the driver, and every block finds its
 slot by arithmetic.
+
+Two schedules are made this way. The mix gives what short sources leave open to the others. The schedule of the targets asks every
+source for its own target; a source whose documents run out leaves slots of its own empty, and so it is found to be short.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from lodeseek.operators.topk import positions
 from lodeseek.session import cut
 
 BLOCK_TOKENS = 2048
+#: Uses of one document that are listed at once.
+LISTED = 10_000
 
 
 def pfair(counts: dict[str, int]) -> list[str]:
@@ -70,27 +75,32 @@ def sizes(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) ->
 
 def capacities(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_weight, max_repeats, tokens, capacity, wanted, short): one row a target. A repeated target counts once (the largest);
-    a null weight or repeat count means 0. short: even max_repeats uses of each document stay below weight * T, T being all tokens once."""
+    a null weight or repeat count means 0, a negative count gives no capacity. short: even max_repeats uses of each document stay below
+    weight * T, T being all tokens once; a forecast, missed() sees what a schedule really holds."""
     goals = targets.where("source is not null").groupBy("source").agg(F.coalesce(F.max("target_weight"), F.lit(0.0)).alias("target_weight"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
     held = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     whole = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("__t"))
     rows = goals.join(held, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).crossJoin(F.broadcast(whole))
-    capacity = F.col("tokens") * F.col("max_repeats")
+    capacity = F.col("tokens") * F.greatest("max_repeats", F.lit(0))
     wanted = F.col("target_weight") * F.col("__t")
     return rows.select("source", "target_weight", "max_repeats", "tokens", capacity.alias("capacity"), wanted.alias("wanted"), (capacity < wanted).alias("short"))
 
 
-def schedule(sized: DataFrame, caps: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+def schedule(sized: DataFrame, caps: DataFrame, block: int = BLOCK_TOKENS, spread: bool = True) -> DataFrame:
     """(slot, source, doc_id, repeat, start, tokens): every use of every document in mixed order (by slot, source, start).
 
     A source's stream is its documents in hashed order, pass after pass; a use belongs to the mix if it starts within the source's
-    budget, so a source exceeds it by less than one document. Only the targets (one row a source) come to the driver, which computes
-    the slots (8 bytes a block) and sends them to each task's process once. The running sum over a source runs in ranges of
-    rows, so a source of any size is never gathered.
+    budget, so a source exceeds it by less than one document. The budget comes from fill(); without spread it is the source's own
+    target, and slots that its stream doesn't reach stay empty (one block of them at most is planned). Only the targets (one row a
+    source) come to the driver, which computes the slots (8 bytes a block) and sends them to each task's process once. The running
+    sum over a source runs in ranges of rows, so a source of any size is never gathered.
     """
     rows = caps.collect()
-    total = sum(r["tokens"] for r in rows)
-    budget = fill({r["source"]: r["target_weight"] for r in rows}, {r["source"]: r["capacity"] for r in rows}, total)
+    if spread:
+        total = sum(r["tokens"] for r in rows)
+        budget = fill({r["source"]: r["target_weight"] for r in rows}, {r["source"]: r["capacity"] for r in rows}, total)
+    else:
+        budget = {r["source"]: min(float(r["capacity"] + block), r["wanted"]) for r in rows}
     # a use starts at a whole token before its source's budget
     blocks = {s: (math.ceil(b) - 1) // block + 1 for s, b in budget.items() if b > 0}
     spark = sized.sparkSession
@@ -106,9 +116,13 @@ def schedule(sized: DataFrame, caps: DataFrame, block: int = BLOCK_TOKENS) -> Da
         filled[s] += 1
     shared = spark.sparkContext.broadcast(place)
     order = positions(sized.withColumn("__h", F.xxhash64("doc_id")), ["source"], [("__h", True), ("doc_id", True)], "prior", "tokens")
-    plan = spark.createDataFrame([(r["source"], int(r["tokens"]), int(r["max_repeats"]), float(budget[r["source"]])) for r in rows], "source string, __size long, __most int, __budget double")
-    uses = order.join(F.broadcast(plan), "source").where("__most > 0")
-    uses = uses.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("__most") - 1))).withColumn("start", F.col("repeat") * F.col("__size") + F.col("prior")).where("start < __budget")
+    plan = [(r["source"], int(r["tokens"]), int(r["max_repeats"]), float(budget[r["source"]])) for r in rows if r["capacity"] > 0 and r["source"] in blocks]
+    uses = order.join(F.broadcast(spark.createDataFrame(plan, "source string, __size long, __most int, __budget double")), "source")
+    # the last use that can start within the budget; listed in parts, as a small source may be allowed any number of uses
+    last = F.greatest(F.lit(0), F.least(F.col("__most") - 1, F.floor((F.col("__budget") - F.col("prior")) / F.col("__size")))).cast("int")
+    uses = uses.withColumn("__last", last).withColumn("__from", F.explode(F.sequence(F.lit(0), "__last", F.lit(LISTED))))
+    uses = uses.withColumn("repeat", F.explode(F.sequence("__from", F.least(F.col("__last"), F.col("__from") + (LISTED - 1)))))
+    uses = uses.withColumn("start", F.col("repeat") * F.col("__size") + F.col("prior")).where("start < __budget")
 
     def assign(batches):
         place = shared.value
@@ -121,6 +135,14 @@ def schedule(sized: DataFrame, caps: DataFrame, block: int = BLOCK_TOKENS) -> Da
     return uses.select("source", F.col("doc_id").cast("long"), "repeat", F.col("start").cast("long"), "tokens").mapInArrow(assign, out)
 
 
+def missed(sized: DataFrame, caps: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+    """(source): the sources that miss slots in the schedule of the targets, where each is asked for weight * T and nothing is spread.
+    What counts is the tokens that the schedule holds. Targets may sum to any number; a source without documents misses all its slots."""
+    caps = cut(caps)
+    used = schedule(sized, caps, block, spread=False).groupBy("source").agg(F.sum("tokens").alias("used"))
+    return caps.join(used, "source", "left").where(F.coalesce("used", F.lit(0)) < F.col("wanted")).select("source")
+
+
 def shares(mixed: DataFrame, caps: DataFrame) -> DataFrame:
     """(source, target_weight, max_repeats, tokens, short, used, documents, uses, actual_share): what the mix really holds."""
     used = mixed.groupBy("source").agg(F.sum("tokens").alias("used"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("uses"))

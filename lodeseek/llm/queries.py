@@ -185,7 +185,8 @@ def _(spark, d):
 @query("p8_found")
 def _(spark, d):
     targets = table(spark, d, "mix_targets")
-    return mix.capacities(mix.sizes(table(spark, d, "documents"), targets), targets).where("short").select("source")
+    sized = mix.sizes(table(spark, d, "documents"), targets)
+    return mix.missed(sized, mix.capacities(sized, targets))
 
 
 @query("p8_shares")

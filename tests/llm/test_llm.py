@@ -550,6 +550,56 @@ def test_long_schedules_stay_within_a_block(spark):
         assert all(abs(used[x] - total[x] * (t + 1) / len(rows)) < 1 for x in total)
 
 
+def test_schedule_decides_which_sources_are_short(spark, tmp_path, monkeypatch):
+    from lodeseek.llm.queries import QUERIES as known
+
+    size = {"a": 30, "b": 50, "c": 20, "empty": 0, "few": 1}
+    texts = {s: [" word" * 10] * (n // 10) if n > 1 else [" word"] * n for s, n in size.items()}
+    texts["empty"] = [None, ""]
+    rows = [(t, s) for s, ts in texts.items() for t in ts] + [("x", "other"), ("x", None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    unlimited, total = 2**31 - 1, sum(size.values())
+    tables = [
+        {"a": (0.4, 1), "b": (0.3, 1), "c": (0.2, 1), "empty": (0.05, 9), "few": (0.05, unlimited), "absent": (0.0, None)},
+        {"a": (0.6, 2), "b": (0.1, 3), "c": (0.2, 1), "few": (0.05, 5), "absent": (0.05, unlimited)},
+        {"a": (0.9, 3), "b": (0.9, 1), "c": (0.9, 5), "empty": (0.9, unlimited), "few": (90.0, unlimited)},  # more than the whole
+        {"a": (30 / 101, 1), "b": (51 / 101, 1), "c": (None, 2), "few": (0.0, -1), "empty": (0.1, -1)},
+    ]
+    slots, pfair, schedule = [], mix.pfair, mix.schedule
+    monkeypatch.setattr(mix, "pfair", lambda counts: slots.append(pfair(counts)) or slots[-1])
+    for i, targets in enumerate(tables):
+        d = tmp_path / str(i)
+        d.mkdir()
+        (d / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        spark.createDataFrame([(s, *x) for s, x in targets.items()], "source string, target_weight double, max_repeats int").write.parquet(f"{d}/mix_targets.parquet")
+        whole = sum(size.get(s, 0) for s in targets)
+        short = {s for s, (w, n) in targets.items() if size.get(s, 0) * max(n or 0, 0) < (w or 0) * whole}
+        assert whole == total and {r["source"] for r in known["p8_found"](spark, str(d)).collect()} == short and len(slots) == i + 1
+    # what the schedule doesn't hold is missed, whatever the capacities say
+    monkeypatch.setattr(mix, "schedule", lambda *args, **kw: schedule(*args, **kw).where("source <> 'b'"))
+    assert {r["source"] for r in known["p8_found"](spark, f"{tmp_path}/1").collect()} == {"a", "absent", "b", "c", "few"}
+
+
+def test_schedule_of_targets_leaves_missed_slots_empty(spark):
+    sized = spark.createDataFrame([(i, "ab"[i % 2], 1) for i in range(40)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_weight double, max_repeats int")
+    caps = mix.capacities(sized, targets)
+    rows = mix.schedule(sized, caps, block=2, spread=False).collect()
+    # a can fill 10 of its 15 slots and is asked for 11, b fills its 5
+    assert Counter(r["source"] for r in rows) == {"a": 20, "b": 10}
+    assert {r["slot"] for r in rows if r["source"] == "b"} == {t for t, s in enumerate(mix.pfair({"a": 11, "b": 5})) if s == "b"}
+    assert len({r["slot"] for r in rows}) == 15 and [r["source"] for r in mix.missed(sized, caps, block=2).collect()] == ["a"]
+
+
+def test_small_sources_of_any_number_of_uses(spark):
+    sized = spark.createDataFrame([(1, "one", 1), (2, "big", 60_000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("one", 0.5, 2**31 - 1), ("big", 0.5, 2**31 - 1)], "source string, target_weight double, max_repeats int")
+    caps = mix.capacities(sized, targets)
+    rows = mix.schedule(sized, caps).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("start").alias("m"), F.max("repeat").alias("last")).collect()
+    assert {(r["source"], r["n"], r["m"], r["last"]) for r in rows} == {("one", 30_001, 30_001, 30_000), ("big", 1, 1, 0)}
+    assert mix.missed(sized, caps).count() == 0
+
+
 # 9
 
 
